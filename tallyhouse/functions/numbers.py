@@ -33,6 +33,25 @@ def count_average(column: Column) -> Column:
     return F.avg(column.cast("decimal(19,0)"))
 
 
+PRICE_SCALE = 4
+
+
+def price_units(amount: Column) -> Column:
+    """A price as a whole number of ten-thousandths."""
+    return (amount * 10**PRICE_SCALE).cast("bigint")
+
+
+def sum_of_units(units: Column) -> Column:
+    """Exact sum of whole numbers of ten-thousandths, as a decimal.
+
+    The high and low 20 bits are summed apart as longs: as exact as a decimal sum and without its cost per row, and no
+    overflow below 2**43 rows.
+    """
+    high = F.sum(F.shiftright(units, 20)).cast("decimal(38,0)")
+    low = F.sum(units.bitwiseAND((1 << 20) - 1))
+    return ((high * (1 << 20) + low) * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(38,4)")
+
+
 def decimals_as_double(df: DataFrame) -> DataFrame:
     """Decimal columns as doubles, the form reports carry; sums stay exact up to here."""
     return df.select(

@@ -26,6 +26,14 @@ class DateSpan:
         upper = F.lit(self.end).cast("timestamp_ntz")
         return (moment >= lower) & (moment < upper)
 
+    def contains_day(self, day: Column) -> Column:
+        """Predicate on a ``date`` column."""
+        return (day >= F.lit(self.start)) & (day < F.lit(self.end))
+
+    def touches_year(self, year: Column) -> Column:
+        """Predicate on a year column that holds for every day inside; lets whole year partitions be skipped."""
+        return year.between(self.start.year, (self.end - timedelta(days=1)).year)
+
     def widened(self, days: int) -> DateSpan:
         return DateSpan(self.start - timedelta(days=days), self.end + timedelta(days=days))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import calendar
 from tallyhouse.functions.filters import where_equal
 from tallyhouse.functions.joins import fits_broadcast
-from tallyhouse.functions.numbers import exact_ratio
+from tallyhouse.functions.numbers import exact_ratio, price_units, sum_of_units
 from tallyhouse.functions.periods import (
     DAY,
     DAY_OF_MONTH,
@@ -65,6 +65,7 @@ class SumRollup:
         return any(self.key(name).table == table for name in names)
 
 
+ITEM_SALES = "item_sales"
 STORE = order_column("storeID")
 PERIOD_OF_STORE = {"storeID": STORE, "year": YEAR, "month": MONTH_OF_YEAR, "week": WEEK_OF_MONTH}
 
@@ -141,14 +142,19 @@ SUM_ROLLUPS: dict[str, SumRollup] = {
 
 ORDER_MEASURES = {"orders": lambda: F.count("orderID"), "spent": lambda: F.sum("total")}
 
-# Over rows that carry a quantity and a number of items, both possibly already summed per product.
+# Over single items: products of small whole numbers.
 ITEM_MEASURES: dict[str, Callable[[], Column]] = {
+    "quantity": lambda: F.sum("_quantity"),
+    "lines": lambda: F.count("*"),
+    "revenue": lambda: sum_of_units(F.col("_quantity") * F.col("_price")),
+    "profit": lambda: sum_of_units(F.col("_quantity") * F.col("_margin")),
+}
+# Over items already summed per product, whose quantities may be large.
+PRODUCT_MEASURES: dict[str, Callable[[], Column]] = {
     "quantity": lambda: F.sum("_quantity"),
     "lines": lambda: F.sum("_lines"),
-    "revenue": lambda: F.sum(F.col("_quantity").cast("decimal(18,0)") * F.col("Price")),
-    "profit": lambda: F.sum(
-        F.col("_quantity").cast("decimal(18,0)") * (F.col("Price") - F.col("production_costs"))
-    ),
+    "revenue": lambda: F.sum(F.col("_quantity").cast("decimal(19,0)") * F.col("Price")),
+    "profit": lambda: F.sum(F.col("_quantity").cast("decimal(19,0)") * (F.col("Price") - F.col("production_costs"))),
 }
 PRICED_MEASURES = {"revenue", "profit"}
 
@@ -224,38 +230,74 @@ def _from_orders(tables: SalesTables, spec: SumRollup, keys: list[str], equals:
 
 def _from_sales(tables: SalesTables, spec: SumRollup, keys: list[str], equals: Mapping[str, Any]) -> DataFrame:
     touched = [*keys, *equals]
+    stored = tables.rollups.get(ITEM_SALES)
+    if stored is not None:
+        sales, measures = _stored_item_sales(stored, spec, keys, equals), PRODUCT_MEASURES
+    else:
+        measures = ITEM_MEASURES
+        sales = _keep(tables.order_items, spec, "items", equals).select(
+            "orderID", "SKU", *_compact_columns(spec, "items", keys), F.col("Quantity").alias("_quantity")
+        )
+        if spec.reads("orders", touched):
+            orders = _keep(tables.orders(_span(spec, equals)), spec, "orders", equals)
+            sales = sales.join(orders.select("orderID", *_compact_columns(spec, "orders", keys)), "orderID")
     priced = any(measure in PRICED_MEASURES for measure in spec.measures.values())
-    sales = _keep(tables.order_items, spec, "items", equals).select(
-        "orderID",
+    if priced or spec.reads("products", touched):
+        products = _keep(tables.products, spec, "products", equals).select(
+            "SKU",
+            *_compact_columns(spec, "products", keys),
+            "Price",
+            "production_costs",
+            price_units(F.col("Price")).alias("_price"),
+            price_units(F.col("Price") - F.col("production_costs")).alias("_margin"),
+        )
+        if fits_broadcast(products, tables.dimension_bytes.get("products")):
+            sales = sales.join(F.broadcast(products), "SKU")
+        else:
+            if stored is None:
+                sales, measures = _summed_per_product(sales, spec, keys), PRODUCT_MEASURES
+            sales = sales.join(products, "SKU")
+    sums = [measures[measure]().alias(column) for column, measure in spec.measures.items()]
+    return _labelled(sales.groupBy(*map(_compact, keys)).agg(*sums), spec, keys)
+
+
+def item_sales(tables: SalesTables) -> DataFrame:
+    """Quantity and number of items per store, product and day.
+
+    Not a report: the one join of items with orders that every sales rollup can be added up from once it is stored.
+    """
+    orders = tables.orders().select("orderID", "storeID", order_day().alias("orderDate"))
+    return (
+        tables.order_items.select("orderID", "SKU", "Quantity")
+        .join(orders, "orderID")
+        .groupBy("storeID", "SKU", "orderDate")
+        .agg(F.sum("Quantity").alias("Quantity"), F.count("*").alias("Lines"))
+        .withColumn("year", F.year("orderDate"))
+    )
+
+
+def _stored_item_sales(stored: DataFrame, spec: SumRollup, keys: list[str], equals: Mapping[str, Any]) -> DataFrame:
+    span = _span(spec, equals)
+    if span is not None:
+        stored = stored.filter(span.touches_year(F.col("year")) & span.contains_day(F.col("orderDate")))
+    for table in ("orders", "items"):
+        stored = _keep(stored, spec, table, equals)
+    return stored.select(
         "SKU",
+        *_compact_columns(spec, "orders", keys),
         *_compact_columns(spec, "items", keys),
         F.col("Quantity").alias("_quantity"),
-        F.lit(1).cast("bigint").alias("_lines"),
+        F.col("Lines").alias("_lines"),
     )
-    if spec.reads("orders", touched):
-        orders = _keep(tables.orders(_span(spec, equals)), spec, "orders", equals)
-        sales = sales.join(orders.select("orderID", *_compact_columns(spec, "orders", keys)), "orderID")
-    if priced or spec.reads("products", touched):
-        sales = _with_products(tables, sales, spec, keys, equals)
-    measures = [ITEM_MEASURES[measure]().alias(column) for column, measure in spec.measures.items()]
-    return _labelled(sales.groupBy(*map(_compact, keys)).agg(*measures), spec, keys)
 
 
-def _with_products(
-    tables: SalesTables, sales: DataFrame, spec: SumRollup, keys: list[str], equals: Mapping[str, Any]
-) -> DataFrame:
-    products = _keep(tables.products, spec, "products", equals).select(
-        "SKU", *_compact_columns(spec, "products", keys), "Price", "production_costs"
-    )
-    if fits_broadcast(products, tables.dimension_bytes.get("products")):
-        return sales.join(F.broadcast(products), "SKU")
-    # Too many products to broadcast: first add up each product's items per group, which leaves a best-seller with
-    # one row per group instead of one per item, then join on the product.
+def _summed_per_product(sales: DataFrame, spec: SumRollup, keys: list[str]) -> DataFrame:
+    """Items added up per product and group, for products too many to broadcast.
+
+    A best-seller then enters the join with one row per group instead of one per item.
+    """
     own_keys = [_compact(key) for key in keys if spec.key(key).table != "products"]
-    per_product = sales.groupBy("SKU", *own_keys).agg(
-        F.sum("_quantity").alias("_quantity"), F.sum("_lines").alias("_lines")
-    )
-    return per_product.join(products, "SKU")
+    return sales.groupBy("SKU", *own_keys).agg(F.sum("_quantity").alias("_quantity"), F.count("*").alias("_lines"))
 
 
 # --- order statistics -------------------------------------------------------------------------------------------------
@@ -276,7 +318,7 @@ def order_stats(
     name = f"{grain}_store_order_stats"
     if name in tables.rollups:
         stored = where_equal(tables.rollups[name], {} if period is None else {column: period})
-        return stored if span is None else stored.filter(span.contains(F.col(column).cast("timestamp_ntz")))
+        return stored if span is None else stored.filter(span.contains_day(F.col(column)))
     days = span if period is None else key.span(period)
     orders = tables.orders(days).select(
         "orderID", "storeID", "total", key.compact().alias("_period")
@@ -336,21 +378,13 @@ def top_order_dates(tables: SalesTables, top_n: int | None = None) -> DataFrame:
 def _orders_per_hour(orders: DataFrame, moment: str) -> DataFrame:
     """Orders of each hour divided by the days on which the store had any order.
 
-    One pass: a row per store and day with 24 counters, then a row per store that also counts its days.
+    Both counts are combined before their shuffles, to 24 rows and to the days per store; a shared pass keyed by day and hour
+    would shuffle nearly every order.
     """
-    hours = [f"_h{hour}" for hour in range(24)]
-    per_day = orders.groupBy("storeID", F.to_date(moment)).agg(
-        *[F.count_if(F.hour(moment) == hour).alias(name) for hour, name in enumerate(hours)]
-    )
-    per_store = per_day.groupBy("storeID").agg(F.count("*").alias("_days"), *[F.sum(name).alias(name) for name in hours])
-    hourly = F.inline(
-        F.array(*[F.struct(F.lit(hour).alias("Hour"), F.col(name).alias("_orders")) for hour, name in enumerate(hours)])
-    )
-    return (
-        per_store.select("storeID", "_days", hourly)
-        .filter("_orders > 0")
-        .select("Hour", "storeID", exact_ratio(F.col("_orders"), F.col("_days"), 4).alias("AvgOrdersPerHour"))
-    )
+    per_hour = orders.groupBy("storeID", F.hour(moment).alias("Hour")).agg(F.count("*").alias("_orders"))
+    per_store = orders.groupBy("storeID").agg(F.count_distinct(F.to_date(moment)).alias("_days"))
+    average = exact_ratio(F.col("_orders"), F.col("_days"), 4).alias("AvgOrdersPerHour")
+    return per_hour.join(per_store, "storeID").select("Hour", "storeID", average)
 
 
 def avg_orders_per_hour(tables: SalesTables) -> DataFrame:

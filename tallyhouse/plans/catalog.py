@@ -6,6 +6,7 @@ A key without a suffix runs with the operator's own defaults, that is over all s
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -222,8 +223,14 @@ REPORTS: dict[str, Report] = {
 }
 
 
+@lru_cache(maxsize=8)
+def _opened(spark: SparkSession, directory: str) -> SalesTables:
+    """Tables are opened once per session and directory."""
+    return tpch_tables(spark, directory)
+
+
 def _query(report: Report) -> Query:
-    return lambda spark, directory: decimals_as_double(report(tpch_tables(spark, directory)))
+    return lambda spark, directory: decimals_as_double(report(_opened(spark, directory)))
 
 
 def queries() -> dict[str, Query]:

@@ -93,8 +93,12 @@ class SalesTables:
         return self.order_source(span)
 
     def sold_orders(self) -> DataFrame:
-        """Orders that have at least one item."""
-        return self.orders().join(self.order_items.select("orderID"), "orderID", "left_semi")
+        """Orders that have at least one item.
+
+        Item rows are reduced to their order keys before the shuffle, so an order with very many items weighs no more than
+        another in the join.
+        """
+        return self.orders().join(self.order_items.select("orderID").distinct(), "orderID", "left_semi")
 
     def join_stores(self, fact: DataFrame, stores: DataFrame, spread: list[str]) -> DataFrame:
         return join_dimension(fact, stores, "storeID", spread, self.dimension_bytes.get("stores"))

@@ -15,6 +15,18 @@ from tallyhouse.functions.spans import DateSpan
 from tallyhouse.sources.tables import SalesTables
 
 
+# The columns read, stated so that opening a table runs no job to look them up.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double",
+}
+
+
 def _coordinate(key: str, factor: int, modulus: int, steps: int, origin: int) -> Column:
     return F.lit(float(origin)) + ((F.col(key) * factor) % modulus).cast("double") / F.lit(float(steps))
 
@@ -75,7 +87,7 @@ def _orders(orders: DataFrame, store_count: Column) -> DataFrame:
 
 def tpch_tables(spark: SparkSession, directory: str) -> SalesTables:
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory}/{name}.parquet")
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
 
     supplier, part, customer, orders = read("supplier"), read("part"), read("customer"), read("orders")
     store_count = supplier.agg(F.count("*")).scalar()
