@@ -32,7 +32,7 @@ def join_dimension(
     fact: DataFrame,
     dimension: DataFrame,
     key: str,
-    spread: list[str],
+    spread: list[str] | None = None,
     size_bytes: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -42,9 +42,12 @@ def join_dimension(
     of one hot key are spread over ``salts`` tasks by a hash of the ``spread`` columns, so the result is not
     partitioned by the key alone and a later ``groupBy`` on it combines before its shuffle.
     The salt is a hash and not random, so a recomputed task yields the same rows.
+    Facts already aggregated to one row per key have nothing to spread and need no salt.
     """
     if fits_broadcast(dimension, size_bytes):
         return fact.join(F.broadcast(dimension), key)
+    if spread is None:
+        return fact.join(dimension, key)
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     salted_dimension = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_fact.join(salted_dimension, [key, "_salt"]).drop("_salt")

@@ -99,17 +99,14 @@ def loyalty_profile(rows: DataFrame) -> DataFrame:
     buckets = F.array(
         *[F.struct(F.lit(label).alias("bucket"), F.col(name).alias("value")) for name, label in LOYALTY_LABELS.items()]
     )
-    stores = rows.agg(F.count("*")).scalar()
     long = rows.select("storeID", F.inline(buckets))
-    means = (
-        long.groupBy("bucket")
-        .agg(F.sum("value").alias("_sum"), F.count("*").alias("_stores"))
-        .filter(F.col("_stores") > LOYALTY_STORE_ROWS)
-        .select(
-            F.lit(None).cast(rows.schema["storeID"].dataType).alias("storeID"),
-            "bucket",
-            (F.col("_sum") / F.col("_stores")).alias("value"),
-        )
+    totals = long.groupBy("bucket").agg(F.sum("value").alias("_sum"), F.count("*").alias("_stores"))
+    # Taking the sum along keeps this subquery's plan equal to the main one, so Spark runs the aggregation once.
+    stores = totals.agg(F.max(F.struct("_stores", "_sum")).getField("_stores")).scalar()
+    means = totals.filter(F.col("_stores") > LOYALTY_STORE_ROWS).select(
+        F.lit(None).cast(rows.schema["storeID"].dataType).alias("storeID"),
+        "bucket",
+        (F.col("_sum") / F.col("_stores")).alias("value"),
     )
     single = long.filter(stores <= LOYALTY_STORE_ROWS).withColumn("value", F.col("value").cast("double"))
     return means.unionByName(single)

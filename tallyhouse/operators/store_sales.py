@@ -42,7 +42,7 @@ def total_revenue_per_store(tables: SalesTables) -> DataFrame:
     """
     per_store = tables.orders().groupBy("storeID").agg(F.sum("total").alias("totalRevenue"))
     return (
-        tables.join_stores(per_store, tables.stores.select("storeID"), ["storeID"])
+        tables.join_stores(per_store, tables.stores.select("storeID"))
         .select("storeID", "totalRevenue")
         .orderBy(F.desc("totalRevenue"), "storeID")
     )

@@ -100,7 +100,7 @@ class SalesTables:
         """
         return self.orders().join(self.order_items.select("orderID").distinct(), "orderID", "left_semi")
 
-    def join_stores(self, fact: DataFrame, stores: DataFrame, spread: list[str]) -> DataFrame:
+    def join_stores(self, fact: DataFrame, stores: DataFrame, spread: list[str] | None = None) -> DataFrame:
         return join_dimension(fact, stores, "storeID", spread, self.dimension_bytes.get("stores"))
 
     def extended_orders(self, span: DateSpan | None = None, stores: DataFrame | None = None) -> DataFrame:

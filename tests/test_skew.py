@@ -114,3 +114,23 @@ def test_proximity(tables, data):
         if abs(store[1] - guest[1]) < 0.5 and abs(store[2] - guest[2]) < 0.5
     )
     assert dict(rows(customers.customers_per_state(tables))) == want
+
+
+def test_hot_order_is_split_over_tasks(spark, data, no_broadcast):
+    """The one join that must bring all items of an order together splits an order that dwarfs the others."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        report = store_sales.total_revenue(make_tables(spark, *data))
+        report.collect()
+        assert "SortMergeJoin(skew=true)" in report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
