@@ -9,12 +9,15 @@ from pyspark.sql import types as T
 MONEY = "decimal(18,2)"
 
 
-def exact_ratio(numerator: Column, denominator: Column, scale: int, numerator_scale: int = 0) -> Column:
+def exact_ratio(
+    numerator: Column, denominator: Column, scale: int, numerator_scale: int = 0, whole_digits: int = 19
+) -> Column:
     """``numerator / denominator`` rounded half up; NULL where the denominator is zero.
 
-    Both are cast so that the decimal quotient keeps 19 fractional digits before the one visible rounding.
+    Both are cast so that the decimal quotient keeps ``38 - whole_digits`` fractional digits before the one visible rounding;
+    ``whole_digits`` are those of the numerator.
     """
-    top = numerator.cast(f"decimal({19 + numerator_scale},{numerator_scale})")
+    top = numerator.cast(f"decimal({whole_digits + numerator_scale},{numerator_scale})")
     return F.round(F.try_divide(top, denominator.cast("decimal(19,0)")), scale)
 
 
@@ -33,12 +36,12 @@ def count_average(column: Column) -> Column:
     return F.avg(column.cast("decimal(19,0)"))
 
 
-PRICE_SCALE = 4
+PRICE = "decimal(18,4)"
 
 
 def price_units(amount: Column) -> Column:
-    """A price as a whole number of ten-thousandths."""
-    return (amount * 10**PRICE_SCALE).cast("bigint")
+    """A price, which counts with four decimals, as a whole number of ten-thousandths."""
+    return (amount.cast(PRICE) * 10_000).cast("bigint")
 
 
 def sum_of_units(units: Column) -> Column:

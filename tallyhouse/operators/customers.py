@@ -72,13 +72,15 @@ def average_order_value(tables: SalesTables, box: Box, year: Any = None) -> Data
         .groupBy(calendar.year_week_number(day).alias("_week"), "customerID")
         .agg(F.count("orderID").alias("_n"), F.sum("total").alias("_total"))
     )
+    # Squares of a very busy customer's count outgrow a long.
+    count = F.col("_n").cast("decimal(14,0)")
     per_week = per_customer.groupBy("_week").agg(
-        F.sum("_n").alias("_orders"), F.sum(F.col("_n") * F.col("_n")).alias("_squares"), F.sum("_total").alias("_total")
+        F.sum("_n").alias("_orders"), F.sum(count * count).alias("_squares"), F.sum("_total").alias("_total")
     )
     return per_week.select(
         calendar.year_week_label(F.col("_week")).alias("week"),
         money_average(F.col("_total"), F.col("_orders")).alias("avg_order_value"),
-        exact_ratio(F.col("_squares"), F.col("_orders"), 4).alias("avg_order_count_per_customer"),
+        exact_ratio(F.col("_squares"), F.col("_orders"), 4, whole_digits=28).alias("avg_order_count_per_customer"),
     ).orderBy("week")
 
 

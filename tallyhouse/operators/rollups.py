@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import calendar
 from tallyhouse.functions.filters import where_equal
 from tallyhouse.functions.joins import fits_broadcast
-from tallyhouse.functions.numbers import exact_ratio, price_units, sum_of_units
+from tallyhouse.functions.numbers import PRICE, exact_ratio, price_units, sum_of_units
 from tallyhouse.functions.periods import (
     DAY,
     DAY_OF_MONTH,
@@ -243,13 +243,14 @@ def _from_sales(tables: SalesTables, spec: SumRollup, keys: list[str], equals: M
             sales = sales.join(orders.select("orderID", *_compact_columns(spec, "orders", keys)), "orderID")
     priced = any(measure in PRICED_MEASURES for measure in spec.measures.values())
     if priced or spec.reads("products", touched):
+        price, cost = F.col("Price").cast(PRICE), F.col("production_costs").cast(PRICE)
         products = _keep(tables.products, spec, "products", equals).select(
             "SKU",
             *_compact_columns(spec, "products", keys),
-            "Price",
-            "production_costs",
-            price_units(F.col("Price")).alias("_price"),
-            price_units(F.col("Price") - F.col("production_costs")).alias("_margin"),
+            price.alias("Price"),
+            cost.alias("production_costs"),
+            price_units(price).alias("_price"),
+            price_units(price - cost).alias("_margin"),
         )
         if fits_broadcast(products, tables.dimension_bytes.get("products")):
             sales = sales.join(F.broadcast(products), "SKU")

@@ -1,6 +1,7 @@
 """Every query by name, with the arguments it is registered under.
 
-A key without a suffix runs with the operator's own defaults, that is over all stores and all time, unless an argument is required.
+A key without a suffix runs with the operator's own defaults, that is over all stores and all time, unless an argument
+is required.
 """
 
 from __future__ import annotations

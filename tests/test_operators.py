@@ -297,3 +297,20 @@ def test_empty_tables_give_empty_reports(empty):
             assert {row[1] for row in got} == {0}
         else:
             assert got == [], name
+
+
+def test_prices_may_be_doubles(spark, tables):
+    from dataclasses import replace
+
+    as_doubles = tables.products.withColumn("Price", F.col("Price").cast("double")).withColumn(
+        "production_costs", F.col("production_costs").cast("double")
+    )
+    got = rollups.rollup(replace(tables, products=as_doubles), "store_profitability")
+    assert rows(got.orderBy("storeID")) == rows(rollups.rollup(tables, "store_profitability").orderBy("storeID"))
+
+
+def test_product_totals_beyond_a_long(spark, no_broadcast):
+    catalogue = [("p", "Gold", "99999999999999.99", "C", "Small", "x", "0.0000")]
+    orders = [(1, "c", "s1", at("2021-01-01T00:00"), "1.00")]
+    tables = make_tables(spark, STORES, [], catalogue, orders, [(1, 1, "p", 10**9)] * 2)
+    assert rows(store_sales.total_revenue(tables)) == [("s1", Decimal("199999999999999980000000.0000"))]
