@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import mixing
+from tallyhouse.llm import merkle, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": mixing.op1_mix_sources}
+    return {
+        "op1_mix_sources": mixing.op1_mix_sources,
+        "op5_document_fingerprints": merkle.op5_document_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
