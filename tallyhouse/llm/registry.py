@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import merkle, mixing
+from tallyhouse.llm import merkle, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op5_document_fingerprints": merkle.op5_document_fingerprints,
+        "op6_simhash_components": simhash.op6_simhash_components,
     }
 
 
