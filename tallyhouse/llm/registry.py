@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import merkle, mixing, simhash
+from tallyhouse.llm import merkle, mixing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op5_document_fingerprints": merkle.op5_document_fingerprints,
         "op6_simhash_components": simhash.op6_simhash_components,
+        "op7_quality_rules": quality.op7_quality_rules,
     }
 
 
