@@ -29,8 +29,6 @@ BLOCK_BITS = 7
 LEVEL_BITS = 16
 #: Block numbers have 57 bits; after three levels 512 values at most are left.
 LEVELS = 3
-#: Stands for the block of null ids: below all others.
-NULL_BLOCK = -(1 << 60)
 
 
 def _hash(value: Column) -> Column:
@@ -98,27 +96,22 @@ def following(values: DataFrame, level: int = LEVELS) -> DataFrame:
     return within.join(entered, "upper").select("value", F.coalesce("next", "largest").alias("next"))
 
 
-def with_next(docs: DataFrame, key: Column, carried: dict[str, Column], tie: Column) -> DataFrame:
-    """``docs`` with ``carried`` columns of the row that follows in descending ``key``, each as ``next_<name>``.
+def with_next(docs: DataFrame, key: str, carried: str, tie: Column) -> DataFrame:
+    """``docs`` with ``next``: the column ``carried`` of the row that follows in descending ``key``, rows of one key in order of ``tie``.
 
-    One shuffle of the rows by block; the first row of every block is passed on to the block before it.
+    One shuffle of the rows by block. The first row of every block, one in 128, is also handed to the block before it; the table of their keys
+    is written, so that Spark knows its size when it chooses the join that picks them.
     """
-    blocked = docs.select("*", *(c.alias(f"_of_{n}") for n, c in carried.items()), key.alias("_key"), tie.alias("_tie")).withColumn(
-        "_block", F.coalesce(F.shiftright("_key", BLOCK_BITS), F.lit(NULL_BLOCK))
-    )
-    order = W.partitionBy("_block").orderBy(F.desc_nulls_last("_key"), "_tie")
-    numbered = blocked.select(
-        "*", F.row_number().over(order).alias("_n"), *(F.lead(F.struct(f"_of_{n}")).over(order).alias(f"_lead_{n}") for n in carried)
-    )
-    blocks = common.written(blocked.select(F.col("_block").alias("value")).distinct(), "blocks")
-    smallest = W.partitionBy("_block").orderBy(F.desc_nulls_last("_key"), "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
-    heads = blocked.withColumn("_seen", F.count("*").over(smallest)).filter("_seen = 1")
-    heads = heads.select(F.col("_block").alias("next"), *(F.struct(f"_of_{n}").alias(f"_head_{n}") for n in carried))
-    entered = following(blocks).join(heads, "next").select(F.col("value").alias("_block"), *(f"_head_{n}" for n in carried))
-    joined = numbered.join(entered, "_block")
-    return joined.select(
-        *docs.columns, *(F.coalesce(f"_lead_{n}", f"_head_{n}")[f"_of_{n}"].alias(f"next_{n}") for n in carried)
-    )
+    blocked = docs.withColumn("_key", F.coalesce(key, F.lit(-(1 << 63)).cast("long"))).withColumn("_tie", tie)
+    blocked = blocked.withColumn("_block", F.shiftright("_key", BLOCK_BITS))
+    order = W.partitionBy("_block").orderBy(F.desc("_key"), "_tie")
+    within = blocked.withColumn("_next", F.lead(F.struct(carried)).over(order))
+    blocks = common.written(blocked.groupBy(F.col("_block").alias("value")).agg(F.max("_key").alias("_key")), "blocks")
+    heads = blocked.join(blocks.select("_key"), "_key").groupBy("_block").agg(F.min_by(F.struct(carried), "_tie").alias("_head"))
+    heads = heads.withColumnRenamed("_block", "next")
+    entered = following(blocks.select("value")).join(heads, "next").select(F.col("value").alias("_block"), "_head")
+    joined = within.join(entered, "_block")
+    return joined.select(*docs.columns, F.coalesce("_next", "_head")[carried].alias("next"))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -133,16 +126,19 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op5_document_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     docs = common.documents(spark, directory).select("doc_id", common.whole(F.col("text")).alias("text"))
-    printed = docs.select("doc_id", "text", fingerprint(F.col("text")).alias("fingerprint"))
-    ringed = with_next(
-        printed, F.col("doc_id"), {"text": F.col("text"), "fingerprint": F.col("fingerprint")}, F.xxhash64("text")
-    )
+    ringed = with_next(docs, "doc_id", "text", F.xxhash64("text"))
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = ringed.withColumn(
-        "edited", F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
-    ).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-    return edited.select(
+        "edited", F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next", F.lit(1), cut))
+    )
+    printed = edited.select(
+        "*",
+        fingerprint(F.col("text")).alias("fingerprint"),
+        fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        fingerprint(F.col("next")).alias("next_fingerprint"),
+    )
+    return printed.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
