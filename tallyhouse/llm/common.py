@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,25 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Table, bool]]:
+    """The rows of each key of batches sorted by their column ``key``, for keys of two rows or more; those of over ``limit`` rows
+    come in pieces, marked True, so that no piece holds a crowd."""
+    rest, crowd = None, None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        keys = rest["key"].to_numpy()
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if e - s > 1 or keys[s] == crowd:
+                yield rest.slice(s, e - s), e - s > limit or keys[s] == crowd
+        rest = rest.slice(int(starts[-1])).combine_chunks()
+        if rest.num_rows > limit or keys[-1] == crowd:
+            yield rest, True
+            crowd, rest = keys[-1], rest.slice(0, 0)
+    if rest is not None and rest.num_rows > 1:
+        yield rest, False

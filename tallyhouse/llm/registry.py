@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import merkle, mixing, quality, simhash
+from tallyhouse.llm import automata, merkle, mixing, quality, simhash, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
         "op5_document_fingerprints": merkle.op5_document_fingerprints,
         "op6_simhash_components": simhash.op6_simhash_components,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op9_substring_dedup": automata.op9_substring_dedup,
     }
 
 

@@ -150,28 +150,6 @@ def tree_links(values: list[int], radius: int, alike=None) -> list[tuple[int, in
     return found
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
-    """The rows of each key of batches sorted by their column ``key``, for keys of two rows or more; those of over ``SHARD`` rows
-    come in pieces, marked True, so that no piece holds a crowd."""
-    rest, crowd = None, None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        rest = table if rest is None else pa.concat_tables([rest, table])
-        keys = rest["key"].to_numpy()
-        if not len(keys):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if e - s > 1 or keys[s] == crowd:
-                yield rest.slice(s, e - s), e - s > SHARD or keys[s] == crowd
-        rest = rest.slice(int(starts[-1])).combine_chunks()
-        if rest.num_rows > SHARD or keys[-1] == crowd:
-            yield rest, True
-            crowd, rest = keys[-1], rest.slice(0, 0)
-    if rest is not None and rest.num_rows > 1:
-        yield rest, False
-
-
 def part_keys(print_: Column) -> Column:
     """The 15 shard keys of a fingerprint: a pair of parts and its bits."""
     parts, low = [], 0
@@ -203,7 +181,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("two parts of six agree up to 4 differing bits only")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, crowded in shards(batches):
+        for rows, crowded in common.shards(batches, SHARD):
             values = rows["print"].to_numpy()
             if crowded:
                 yield pa.RecordBatch.from_pydict({"a": values, "b": values, "crowded": np.ones(len(values), bool)})
@@ -260,7 +238,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return pd.DataFrame({"print": prints, "sketch": sketches})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, crowded in shards(batches):
+        for rows, crowded in common.shards(batches, SHARD):
             nodes, prints = rows["node"].to_numpy(), rows["print"].to_numpy()
             if crowded:
                 yield pa.RecordBatch.from_pydict({"a": nodes, "b": prints, "crowded": np.ones(len(nodes), bool)})
