@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import automata, merkle, mixing, quality, simhash, suffixes
+from tallyhouse.llm import automata, html, merkle, mixing, neighbours, pieces, quality, simhash, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_sentencepiece": pieces.op2_sentencepiece,
+        "op3_html_extraction": html.op3_html_extraction,
         "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
         "op5_document_fingerprints": merkle.op5_document_fingerprints,
         "op6_simhash_components": simhash.op6_simhash_components,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_substring_dedup": automata.op9_substring_dedup,
     }
 
