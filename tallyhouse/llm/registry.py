@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import automata, html, merkle, mixing, neighbours, pieces, quality, simhash, suffixes
+from tallyhouse.llm import automata, html, language, merkle, mixing, neighbours, pieces, quality, simhash, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_substring_dedup": automata.op9_substring_dedup,
+        "op10_language_id": language.op10_language_id,
     }
 
 
