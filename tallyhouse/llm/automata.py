@@ -128,9 +128,9 @@ def later_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """Ranges ``(k1, k2, lo, n)`` of window starts in documents of :func:`windows.keyed` whose window also starts earlier."""
     looked = windows.Windows(length, gram, windows.word_symbols)
     found = windows.repeated(documents, looked)
-    distinct = found.groupBy("gram", "context").agg(
-        F.count("*").alias("copies"), F.min(F.struct(*windows.KEY, "lo", "n", "off")).alias("first"), F.first("mixed").alias("mixed")
-    )
+    first = F.min(F.struct(*windows.KEY, "lo", "n", "off")).alias("first")
+    grouped = found.groupBy("gram", "context").agg(F.count("*").alias("copies"), first, F.first("mixed").alias("mixed"))
+    distinct = common.written(grouped, "contexts")
     recurring = found.join(distinct.filter("copies > 1").select("gram", "context", "first"), ["gram", "context"])
     recurring = recurring.filter(F.struct(*windows.KEY, "lo") > F.struct("first.k1", "first.k2", "first.lo")).select(*windows.KEY, "lo", "n")
     cut = windows.contexts(documents, distinct.filter("mixed"), looked, lambda text: windows.word_symbols(text).tobytes(), 8)

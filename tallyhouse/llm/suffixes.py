@@ -111,7 +111,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     found = windows.repeated(documents, looked)
     alike = found.filter("not mixed").select(*windows.KEY, "lo", "n")
     mixed = found.filter("mixed")
-    distinct = mixed.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(F.struct(*windows.KEY, "lo", "n", "off")).alias("first"))
+    first = F.min(F.struct(*windows.KEY, "lo", "n", "off")).alias("first")
+    distinct = common.written(mixed.groupBy("gram", "context").agg(F.count("*").alias("copies"), first), "contexts")
     copied = distinct.filter("copies > 1").select("gram", "context")
     recurring = mixed.join(copied, ["gram", "context"]).select(*windows.KEY, "lo", "n")
     cut = windows.contexts(documents, distinct, looked, lambda text: text.encode(), 1)

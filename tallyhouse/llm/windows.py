@@ -162,7 +162,8 @@ def repeated(documents: DataFrame, windows: Windows) -> DataFrame:
     seen = anchors(documents, windows)
     counts = seen.groupBy("gram").agg(F.count("*").alias("times"), F.min("context").alias("least"), F.max("context").alias("most"))
     again = counts.filter("times > 1").select("gram", (F.col("least") != F.col("most")).alias("mixed"))
-    return common.written(seen.join(again, "gram"), "anchors")
+    # Read back as a table, both sides of the join are plain shuffles, which adaptive execution may split at a hot gram.
+    return common.written(seen.join(common.written(again, "grams"), "gram"), "anchors")
 
 
 CONTEXT_SCHEMA = "key long, context long, copies long, k1 long, k2 long, lo int, n int, off int, content binary"
