@@ -31,12 +31,12 @@ def fits_broadcast(dimension: DataFrame, size_bytes: int | None = None) -> bool:
 def join_dimension(
     fact: DataFrame,
     dimension: DataFrame,
-    key: str,
+    key: str | list[str],
     spread: list[str] | None = None,
     size_bytes: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Inner join on a key that is unique in ``dimension``.
+    """Inner join on a key (one column or several) that is unique in ``dimension``.
 
     A dimension within the session's broadcast limit is broadcast. A larger one is joined on (key, salt): the fact rows
     of one hot key are spread over ``salts`` tasks by a hash of the ``spread`` columns, so the result is not
@@ -50,4 +50,5 @@ def join_dimension(
         return fact.join(dimension, key)
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     salted_dimension = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_fact.join(salted_dimension, [key, "_salt"]).drop("_salt")
+    keys = [key] if isinstance(key, str) else key
+    return salted_fact.join(salted_dimension, [*keys, "_salt"]).drop("_salt")

@@ -23,13 +23,17 @@ def _unchanged(value: Any) -> Any:
 
 @dataclass(frozen=True)
 class Key:
-    """``table`` is the base table of the column: ``orders``, ``items`` or ``products``."""
+    """``table`` is the base table of the column: ``orders``, ``items`` or ``products``.
+
+    ``parse`` reads an argument as a compact value, ``stored`` as the value that a stored rollup carries.
+    """
 
     table: str
     compact: Callable[[], Column]
     label: Callable[[Column], Column] = _unchanged
     parse: Callable[[Any], Any] = _unchanged
     span: Callable[[Any], DateSpan] | None = None
+    stored: Callable[[Any], Any] = _unchanged
 
 
 def order_column(name: str) -> Key:
@@ -48,13 +52,14 @@ def order_day() -> Column:
     return F.to_date("orderDate")
 
 
-DAY = Key("orders", order_day, parse=spans.as_date, span=spans.day_span)
+DAY = Key("orders", order_day, parse=spans.as_date, span=spans.day_span, stored=spans.as_date)
 WEEK = Key(
     "orders",
     lambda: calendar.year_week_number(order_day()),
     calendar.year_week_label,
-    parse=lambda year_week: int(year_week.replace("-", "")),
+    parse=lambda year_week: int(spans.week_text(year_week).replace("-", "")),
     span=spans.week_span,
+    stored=spans.week_text,
 )
 MONTH = Key(
     "orders",
@@ -62,6 +67,7 @@ MONTH = Key(
     calendar.year_month_label,
     parse=spans.month_start,
     span=spans.month_span,
+    stored=spans.month_text,
 )
 YEAR = Key("orders", lambda: F.year("orderDate"), parse=int, span=spans.year_span)
 MONTH_OF_YEAR = Key("orders", lambda: F.month("orderDate"), parse=int)
@@ -72,6 +78,6 @@ WEEKDAY = Key(
     "orders",
     lambda: F.dayofweek("orderDate"),
     calendar.weekday_label,
-    parse=lambda name: calendar.WEEKDAYS_SUNDAY_FIRST.index(name) + 1,
+    parse=lambda name: {day: i for i, day in enumerate(calendar.WEEKDAYS_SUNDAY_FIRST, 1)}.get(name, 0),  # 0: no day
 )
 WEEKDAY_NUMBER = Key("orders", lambda: F.dayofweek("orderDate"), parse=int)

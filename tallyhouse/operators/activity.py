@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import calendar
 from tallyhouse.functions.filters import given
+from tallyhouse.functions.spans import sunday_week_span
 from tallyhouse.operators import rollups
 from tallyhouse.operators.rollups import rollup
 from tallyhouse.sources.tables import SalesTables
@@ -49,7 +50,8 @@ def order_activity_per_hour(
     wanted = given(week=week)
     if not wanted:
         return rollup(tables, "order_activity_per_hour", ["hour"], equals).orderBy("hour")
-    per_day = rollup(tables, "order_activity_per_hour", ["year", "month", "day", "hour"], equals)
+    span = sunday_week_span(year, wanted["week"]) if "year" in equals else None
+    per_day = rollup(tables, "order_activity_per_hour", ["year", "month", "day", "hour"], equals, span)
     day = calendar.date_from_parts(F.col("year"), F.col("month"), F.col("day"))
     return (
         per_day.filter(calendar.week_sunday_first(day) == int(wanted["week"]))

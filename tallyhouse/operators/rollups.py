@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import calendar
 from tallyhouse.functions.filters import where_equal
 from tallyhouse.functions.joins import fits_broadcast
-from tallyhouse.functions.numbers import PRICE, exact_ratio, price_units, sum_of_units
+from tallyhouse.functions.numbers import PRICE, exact_ratio, money_average, price_units, sum_of_units
 from tallyhouse.functions.periods import (
     DAY,
     DAY_OF_MONTH,
@@ -42,7 +42,7 @@ from tallyhouse.functions.periods import (
     order_day,
     product_column,
 )
-from tallyhouse.functions.spans import DateSpan, calendar_span
+from tallyhouse.functions.spans import DateSpan, calendar_span, week_of_month_span
 from tallyhouse.sources.tables import SalesTables
 
 
@@ -164,23 +164,45 @@ def rollup(
     name: str,
     keys: list[str] | None = None,
     equals: Mapping[str, Any] | None = None,
+    within: DateSpan | None = None,
 ) -> DataFrame:
     """Rollup ``name`` summed to ``keys`` (all of its keys by default) over the rows where ``equals`` holds.
 
+    ``within`` narrows the days that are read from the facts; the caller still filters what a stored rollup returns.
+
     Summing a sum again gives the same total, so the coarser grain is computed directly and the fine-grained table is
     never shuffled just to be added up.
     """
     spec = SUM_ROLLUPS[name]
     keys = list(spec.keys) if keys is None else keys
     equals = equals or {}
+    span = _span(spec, equals)
+    span = within if span is None else span.both(within)
     if name in tables.rollups:
-        return _from_stored(tables.rollups[name], spec, keys, equals)
+        return _from_stored(tables.rollups[name], spec, keys, equals, span)
     if any(measure in ORDER_MEASURES for measure in spec.measures.values()):
-        return _from_orders(tables, spec, keys, equals)
-    return _from_sales(tables, spec, keys, equals)
+        return _from_orders(tables, spec, keys, equals, span)
+    return _from_sales(tables, spec, keys, equals, span)
+
+
+#: The column that stored rollups without ``year`` and ``month`` are partitioned by.
+STORED_YEAR = "_year"
 
 
-def _from_stored(stored: DataFrame, spec: SumRollup, keys: list[str], equals: Mapping[str, Any]) -> DataFrame:
+def pruned(stored: DataFrame, span: DateSpan | None, day: str | None = None) -> DataFrame:
+    """A stored rollup without the year partitions and, if it has the date column ``day``, the days outside a range."""
+    if span is None:
+        return stored
+    if STORED_YEAR in stored.columns:
+        stored = stored.filter(span.touches_year(F.col(STORED_YEAR)))
+    return stored.filter(span.contains_day(F.col(day))) if day in stored.columns else stored
+
+
+def _from_stored(
+    stored: DataFrame, spec: SumRollup, keys: list[str], equals: Mapping[str, Any], span: DateSpan | None
+) -> DataFrame:
+    stored = pruned(stored, span, spec.day)
+    equals = {name: spec.key(name).stored(value) for name, value in equals.items()}
     for name in {*keys, *equals} - set(spec.keys):
         key = spec.derived[name]
         stored = stored.withColumn("orderDate", F.col(spec.day)).withColumn(name, key.label(key.compact()))
@@ -193,6 +215,8 @@ def _from_stored(stored: DataFrame, spec: SumRollup, keys: list[str], equals: Ma
 def _span(spec: SumRollup, equals: Mapping[str, Any]) -> DateSpan | None:
     """The range of days the equality arguments imply, to be pushed into the scan of the orders."""
     if "year" in equals:
+        if "month" in equals and "week" in equals:
+            return week_of_month_span(equals["year"], equals["month"], equals["week"])
         return calendar_span(equals["year"], equals.get("month"))
     for name, value in equals.items():
         if spec.key(name).span is not None:
@@ -221,25 +245,39 @@ def _labelled(summed: DataFrame, spec: SumRollup, keys: list[str]) -> DataFrame:
     return summed.select(*labels, *spec.measures)
 
 
-def _from_orders(tables: SalesTables, spec: SumRollup, keys: list[str], equals: Mapping[str, Any]) -> DataFrame:
-    orders = _keep(tables.orders(_span(spec, equals)), spec, "orders", equals)
+def _from_orders(
+    tables: SalesTables, spec: SumRollup, keys: list[str], equals: Mapping[str, Any], span: DateSpan | None
+) -> DataFrame:
+    hours = tables.rollups.get(ORDER_HOURS)
+    if hours is not None and set(spec.measures.values()) == {"orders"}:
+        counted = _keep(_stored_hours(hours, span), spec, "orders", equals)
+        keyed = counted.select(*_compact_columns(spec, "orders", keys), "orders")
+        sums = [F.sum("orders").alias(column) for column in spec.measures]
+        return _labelled(keyed.groupBy(*map(_compact, keys)).agg(*sums), spec, keys)
+    orders = _keep(tables.orders(span), spec, "orders", equals)
     measures = [ORDER_MEASURES[measure]().alias(column) for column, measure in spec.measures.items()]
     keyed = orders.select(*_compact_columns(spec, "orders", keys), "orderID", "total")
     return _labelled(keyed.groupBy(*map(_compact, keys)).agg(*measures), spec, keys)
 
 
-def _from_sales(tables: SalesTables, spec: SumRollup, keys: list[str], equals: Mapping[str, Any]) -> DataFrame:
+def _from_sales(
+    tables: SalesTables, spec: SumRollup, keys: list[str], equals: Mapping[str, Any], span: DateSpan | None
+) -> DataFrame:
     touched = [*keys, *equals]
     stored = tables.rollups.get(ITEM_SALES)
+    if stored is None and not (spec.reads("items", touched) or spec.reads("products", touched)):
+        summed = _summed_per_order(tables, spec, keys, equals, span)
+        if summed is not None:
+            return _labelled(summed, spec, keys)
     if stored is not None:
-        sales, measures = _stored_item_sales(stored, spec, keys, equals), PRODUCT_MEASURES
+        sales, measures = _stored_item_sales(stored, spec, keys, equals, span), PRODUCT_MEASURES
     else:
         measures = ITEM_MEASURES
         sales = _keep(tables.order_items, spec, "items", equals).select(
             "orderID", "SKU", *_compact_columns(spec, "items", keys), F.col("Quantity").alias("_quantity")
         )
         if spec.reads("orders", touched):
-            orders = _keep(tables.orders(_span(spec, equals)), spec, "orders", equals)
+            orders = _keep(tables.orders(span), spec, "orders", equals)
             sales = sales.join(orders.select("orderID", *_compact_columns(spec, "orders", keys)), "orderID")
     priced = any(measure in PRICED_MEASURES for measure in spec.measures.values())
     if priced or spec.reads("products", touched):
@@ -262,6 +300,64 @@ def _from_sales(tables: SalesTables, spec: SumRollup, keys: list[str], equals: M
     return _labelled(sales.groupBy(*map(_compact, keys)).agg(*sums), spec, keys)
 
 
+def _summed_per_order(
+    tables: SalesTables, spec: SumRollup, keys: list[str], equals: Mapping[str, Any], span: DateSpan | None
+) -> DataFrame | None:
+    """Sums by order columns alone: items are added up per order before they meet the orders, so an order is one row however many
+    items it has. None where that needs prices of products too many to broadcast, or no order is read."""
+    if not spec.reads("orders", [*keys, *equals]):
+        return None
+    items = tables.order_items.select("orderID", "SKU", F.col("Quantity").alias("_quantity"))
+    if any(measure in PRICED_MEASURES for measure in spec.measures.values()):
+        price, cost = F.col("Price").cast(PRICE), F.col("production_costs").cast(PRICE)
+        products = tables.products.select("SKU", price_units(price).alias("_price"), price_units(price - cost).alias("_margin"))
+        if not fits_broadcast(products, tables.dimension_bytes.get("products")):
+            return None
+        items = items.join(F.broadcast(products), "SKU")
+    elif "quantity" not in spec.measures.values():
+        return None
+    per_order = items.groupBy("orderID").agg(
+        *(ITEM_MEASURES[measure]().alias(f"_{column}") for column, measure in spec.measures.items())
+    )
+    orders = _keep(tables.orders(span), spec, "orders", equals)
+    met = per_order.join(orders.select("orderID", *_compact_columns(spec, "orders", keys)), "orderID")
+    sums = [F.sum(f"_{column}").cast(per_order.schema[f"_{column}"].dataType).alias(column) for column in spec.measures]
+    return met.groupBy(*map(_compact, keys)).agg(*sums)
+
+
+ORDER_HOURS = "order_hours"
+
+
+def order_hours(tables: SalesTables) -> DataFrame:
+    """Orders, their items and their total per store, day and hour.
+
+    Not a report: stored, it serves every count of orders and all three grains of order statistics.
+    """
+    items = tables.order_items.groupBy("orderID").agg(F.sum("Quantity").alias("_items"))
+    return (
+        tables.orders()
+        .select("orderID", "storeID", "total", order_day().alias("day"), F.hour("orderDate").alias("hour"))
+        .join(items, "orderID", "left")
+        .groupBy("storeID", "day", "hour")
+        .agg(
+            F.count("orderID").alias("orders"),
+            F.sum(F.coalesce("_items", F.lit(0))).alias("items"),
+            F.sum("total").alias("total"),
+            F.count("total").alias("totals"),
+        )
+        .withColumn("year", F.year("day"))
+    )
+
+
+def _stored_hours(hours: DataFrame, span: DateSpan | None) -> DataFrame:
+    """Stored hours with an ``orderDate``, so that every calendar key can be taken from them."""
+    if span is not None:
+        hours = hours.filter(span.touches_year(F.col("year")) & span.contains_day(F.col("day")))
+    zero = F.lit(0)
+    moment = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(zero, F.col("hour"), zero, zero)
+    return hours.drop("year").withColumn("orderDate", moment)
+
+
 def item_sales(tables: SalesTables) -> DataFrame:
     """Quantity and number of items per store, product and day.
 
@@ -277,8 +373,9 @@ def item_sales(tables: SalesTables) -> DataFrame:
     )
 
 
-def _stored_item_sales(stored: DataFrame, spec: SumRollup, keys: list[str], equals: Mapping[str, Any]) -> DataFrame:
-    span = _span(spec, equals)
+def _stored_item_sales(
+    stored: DataFrame, spec: SumRollup, keys: list[str], equals: Mapping[str, Any], span: DateSpan | None
+) -> DataFrame:
     if span is not None:
         stored = stored.filter(span.touches_year(F.col("year")) & span.contains_day(F.col("orderDate")))
     for table in ("orders", "items"):
@@ -317,10 +414,24 @@ def order_stats(
     """
     column, key = GRAINS[grain]
     name = f"{grain}_store_order_stats"
-    if name in tables.rollups:
-        stored = where_equal(tables.rollups[name], {} if period is None else {column: period})
-        return stored if span is None else stored.filter(span.contains_day(F.col(column)))
     days = span if period is None else key.span(period)
+    shown = ("storeID", column, "NumberOfOrders", "TotalItemsSold", "AverageOrderValue")
+    if name in tables.rollups:
+        stored = pruned(tables.rollups[name], days, column if grain == "daily" else None)
+        return where_equal(stored, {} if period is None else {column: key.stored(period)}).select(*shown)
+    if ORDER_HOURS in tables.rollups:
+        summed = (
+            _stored_hours(tables.rollups[ORDER_HOURS], days)
+            .groupBy("storeID", key.compact().alias("_period"))
+            .agg(*(F.sum(c).alias(f"_{c}") for c in ("orders", "items", "total", "totals")))
+        )
+        return summed.select(
+            "storeID",
+            key.label(F.col("_period")).alias(column),
+            F.col("_orders").alias("NumberOfOrders"),
+            F.col("_items").alias("TotalItemsSold"),
+            money_average(F.col("_total"), F.col("_totals")).cast("decimal(22,6)").alias("AverageOrderValue"),
+        )
     orders = tables.orders(days).select(
         "orderID", "storeID", "total", key.compact().alias("_period")
     )
@@ -352,6 +463,8 @@ def _stored_or(tables: SalesTables, name: str, build: Callable[[], DataFrame]) -
 
 def unique_customers_per_store(tables: SalesTables) -> DataFrame:
     def build() -> DataFrame:
+        if "top_customers_per_store" in tables.rollups:  # a row for each customer of a store
+            return tables.rollups["top_customers_per_store"].groupBy("storeID").agg(F.count("customerID").alias("uniqueCustomers"))
         customers = F.count_distinct("customerID").alias("uniqueCustomers")
         return tables.orders().groupBy("storeID").agg(customers)
 
@@ -362,41 +475,81 @@ def top_order_dates(tables: SalesTables, top_n: int | None = None) -> DataFrame:
     """Orders per store and day with the day's holiday; ``top_n`` keeps the busiest days of each store."""
 
     def build() -> DataFrame:
+        if ORDER_HOURS in tables.rollups:
+            hours = tables.rollups[ORDER_HOURS]
+            days = hours.groupBy(F.col("day").alias("OrderDate"), "storeID").agg(F.sum("orders").alias("TotalOrders"))
+        else:
+            days = tables.orders().groupBy(order_day().alias("OrderDate"), "storeID").agg(F.count("orderID").alias("TotalOrders"))
         return (
-            tables.orders()
-            .groupBy(order_day().alias("OrderDate"), "storeID")
-            .agg(F.count("orderID").alias("TotalOrders"))
-            .withColumn("HolidayName", calendar.holiday_name(F.col("OrderDate")))
+            days.withColumn("HolidayName", calendar.holiday_name(F.col("OrderDate")))
         )
 
-    days = _stored_or(tables, "TopOrderDates", build)
+    days = _stored_or(tables, "TopOrderDates", build).select("OrderDate", "storeID", "TotalOrders", "HolidayName")
     if top_n is None:
         return days
     busiest_first = Window.partitionBy("storeID").orderBy(F.desc("TotalOrders"), "OrderDate")
     return days.withColumn("_place", F.row_number().over(busiest_first)).filter(F.col("_place") <= top_n).drop("_place")
 
 
-def _orders_per_hour(orders: DataFrame, moment: str) -> DataFrame:
-    """Orders of each hour divided by the days on which the store had any order.
+HOURS = range(24)
 
-    Both counts are combined before their shuffles, to 24 rows and to the days per store; a shared pass keyed by day and hour
-    would shuffle nearly every order.
-    """
-    per_hour = orders.groupBy("storeID", F.hour(moment).alias("Hour")).agg(F.count("*").alias("_orders"))
-    per_store = orders.groupBy("storeID").agg(F.count_distinct(F.to_date(moment)).alias("_days"))
+
+def _hours_per_day(orders: DataFrame, moment: str) -> DataFrame:
+    """Orders of each hour, a column each, per store and day; ``hnull`` counts orders without a time."""
+    hour = F.hour(moment)
+    counts = [F.count_if(hour == h).alias(f"h{h}") for h in HOURS]
+    return orders.groupBy("storeID", F.to_date(moment).alias("_day")).agg(*counts, F.count_if(hour.isNull()).alias("hnull"))
+
+
+def _average_per_hour(per_day: DataFrame) -> DataFrame:
+    """Orders of each hour divided by the days on which the store had any order, from one row per store and day."""
+    columns = [*(f"h{h}" for h in HOURS), "hnull"]
+    per_store = per_day.groupBy("storeID").agg(*(F.sum(c).alias(c) for c in columns), F.count("_day").alias("_days"))
+    hours = [F.struct(F.lit(h).alias("Hour"), F.col(f"h{h}").alias("_orders")) for h in HOURS]
+    hours.append(F.struct(F.lit(None).cast("int").alias("Hour"), F.col("hnull").alias("_orders")))
     average = exact_ratio(F.col("_orders"), F.col("_days"), 4).alias("AvgOrdersPerHour")
-    return per_hour.join(per_store, "storeID").select("Hour", "storeID", average)
+    return per_store.select("storeID", "_days", F.inline(F.array(*hours))).filter("_orders > 0").select("Hour", "storeID", average)
+
+
+def _stored_hours_per_day(hours: DataFrame) -> DataFrame:
+    counts = [F.sum(F.when(F.col("hour") == h, F.col("orders")).otherwise(0)).alias(f"h{h}") for h in HOURS]
+    no_hour = F.sum(F.when(F.col("hour").isNull(), F.col("orders")).otherwise(0)).alias("hnull")
+    return hours.groupBy("storeID", F.col("day").alias("_day")).agg(*counts, no_hour)
+
+
+def _local(per_day: DataFrame, tables: SalesTables) -> DataFrame:
+    """Hours per local day: a store's zone moves each hour of a day by whole hours, some of them to the day before or after."""
+    zones = tables.stores.select("storeID", tables.zone_hours().alias("_shift"))
+    shifted = tables.join_stores(per_day, zones, ["_day"])
+    counts = F.array(*(F.col(f"h{h}") for h in HOURS))
+    moved = shifted.select("storeID", "_day", "_shift", "hnull", F.posexplode(counts).alias("_hour", "_orders")).filter(
+        (F.col("_orders") > 0) | ((F.col("_hour") == 0) & (F.col("hnull") > 0))
+    )
+    at = F.col("_hour") + F.col("_shift")
+    local_day, local_hour = F.date_add("_day", F.floor(at / 24).cast("int")), F.pmod(at, F.lit(24))
+    counted = [F.sum(F.when(local_hour == h, F.col("_orders")).otherwise(0)).alias(f"h{h}") for h in HOURS]
+    no_hour = F.sum(F.when(F.col("_hour") == 0, F.col("hnull")).otherwise(0)).alias("hnull")
+    return moved.groupBy("storeID", local_day.alias("_day")).agg(*counted, no_hour)
 
 
 def avg_orders_per_hour(tables: SalesTables) -> DataFrame:
     """By local time of the store."""
-    return _stored_or(
-        tables, "AvgOrdersPerHour", lambda: _orders_per_hour(tables.extended_orders(), "adjustedOrderDate")
-    )
+
+    def build() -> DataFrame:
+        if tables.extended is not None:
+            return _average_per_hour(_hours_per_day(tables.extended_orders(), "adjustedOrderDate"))
+        return _average_per_hour(_local(_per_day(tables), tables))
+
+    return _stored_or(tables, "AvgOrdersPerHour", build)
+
+
+def _per_day(tables: SalesTables) -> DataFrame:
+    hours = tables.rollups.get(ORDER_HOURS)
+    return _hours_per_day(tables.orders(), "orderDate") if hours is None else _stored_hours_per_day(hours)
 
 
 def avg_orders_per_hour_utc(tables: SalesTables) -> DataFrame:
-    return _stored_or(tables, "AvgOrdersPerHourUTC", lambda: _orders_per_hour(tables.orders(), "orderDate"))
+    return _stored_or(tables, "AvgOrdersPerHourUTC", lambda: _average_per_hour(_per_day(tables)))
 
 
 def pizza_profit_analysis(tables: SalesTables) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.calendar import SEASON_MONTHS
+from tallyhouse.functions.joins import join_dimension
 from tallyhouse.functions.numbers import percentage
 
 MONTHLY_MEASURES = ("total_sales", "totalRevenue", "totalProfit")
@@ -31,8 +32,26 @@ def profit_split_by_month(rows: DataFrame) -> DataFrame:
     )
 
 
+def names_of(dimension: DataFrame, column: str) -> list[str]:
+    """The different values of a dimension's column, in order, to be the columns of a matrix; at most ``spark.sql.pivotMaxValues``."""
+    most = int(dimension.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    names = [row[0] for row in dimension.select(_shown(column)).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} different values of {column} cannot be columns")
+    return sorted(names)
+
+
+def _shown(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("null")).alias(column)
+
+
 def _matrix(rows: DataFrame, row: str, column: str, value: str, columns: Sequence[Any] | None) -> DataFrame:
-    pivot = rows.groupBy(row).pivot(column, None if columns is None else list(columns)).agg(F.sum(value))
+    """Sums per ``row`` and ``column``. A value that is not among given ``columns`` fails the query: no sum is left out."""
+    shown = _shown(column)
+    if columns is not None:
+        complaint = F.raise_error(F.concat(F.lit(f"no column for {column} "), shown)).cast("string")
+        shown = F.when(shown.isin(list(columns)), shown).otherwise(complaint).alias(column)
+    pivot = rows.select(row, shown, value).groupBy(row).pivot(column, None if columns is None else list(columns)).agg(F.sum(value))
     return pivot.select(row, *[F.coalesce(F.col(f"`{name}`"), F.lit(0)).alias(name) for name in pivot.columns if name != row])
 
 
@@ -70,14 +89,16 @@ def share_of_total(rows: DataFrame, value: str, series: str | None = None) -> Da
     """Adds each row's percentage of the total of its series, or of all rows.
 
     Totals are aggregated and joined back rather than taken over a window, which would bring a whole series into one
-    task.
+    task; the join spreads a series over several.
     """
     if series is None:
         total = rows.agg(F.sum(value)).scalar()
         return rows.withColumn("percentage", percentage(F.col(value), total))
-    totals = rows.groupBy(F.col(series).alias("_series")).agg(F.sum(value).alias("_total"))
-    joined = rows.join(totals, F.col(series).eqNullSafe(F.col("_series")))
-    return joined.withColumn("percentage", percentage(F.col(value), F.col("_total"))).drop("_series", "_total")
+    marked = rows.withColumn("_series", _shown(series)).withColumn("_none", F.col(series).isNull())
+    totals = marked.groupBy("_series", "_none").agg(F.sum(value).alias("_total"))
+    # All rows of a busy series meet one total: they are spread over tasks unless the totals can be broadcast.
+    joined = join_dimension(marked, totals, ["_series", "_none"], rows.columns)
+    return joined.withColumn("percentage", percentage(F.col(value), F.col("_total"))).drop("_series", "_none", "_total")
 
 
 # Labels of the loyalty buckets by column.

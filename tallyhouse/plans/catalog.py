@@ -46,10 +46,6 @@ CATEGORY = "PROMO"
 TOP_DATES = 10
 BOX = Box(sw_lat=30.0, sw_lng=-120.0, ne_lat=45.0, ne_lng=-80.0)
 FINE_MONTHS, FINE_LIMITS = 1.0, (6, 4, 2)
-CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-PRODUCT_ADJECTIVES = ["blue", "cold", "hot", "large", "old", "red", "small", "new"]
-PRODUCT_NOUNS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
-PRODUCT_NAMES = sorted(f"{adjective} {noun}" for adjective in PRODUCT_ADJECTIVES for noun in PRODUCT_NOUNS)
 
 
 def _with(operator: Callable[..., DataFrame], *args: Any, **arguments: Any) -> Report:
@@ -183,10 +179,10 @@ SHAPING: dict[str, Report] = {
     "profit_by_month": lambda tables: shaping.sales_by_month(store_sales.store_profitability(tables)),
     "profit_split_by_month": lambda tables: shaping.profit_split_by_month(store_sales.store_profitability(tables)),
     "category_product_matrix": lambda tables: shaping.category_product_matrix(
-        products.category_sales(tables), PRODUCT_NAMES
+        products.category_sales(tables), shaping.names_of(tables.products, "Name")
     ),
     "store_category_matrix": lambda tables: shaping.store_category_matrix(
-        products.category_sales_comparison(tables), CATEGORIES
+        products.category_sales_comparison(tables), shaping.names_of(tables.products, "Category")
     ),
     "holiday_orders_per_store": lambda tables: shaping.holiday_orders_per_store(
         activity.holiday_order_analysis(tables)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.functions.joins import join_dimension
+from tallyhouse.functions.joins import SALTS, join_dimension
 from tallyhouse.functions.spans import DateSpan
 
 _MONEY = T.DecimalType(18, 2)
@@ -49,6 +49,11 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+EXTENDED_ORDERS = "extendedorders"
+SCHEMAS_OF_EXTENDED = _schema(
+    orderID=T.LongType(), customerID=T.StringType(), storeID=T.StringType(), total=_MONEY, adjustedOrderDate=T.TimestampNTZType()
+)
+
 MAX_ZONE_SHIFT_DAYS = 1
 
 
@@ -60,6 +65,9 @@ class SalesTables:
     range into its own scan. ``dimension_bytes`` states the size of a dimension where the estimate of its plan
     would be far off, as for one that is itself a join.
 
+    ``extended`` are stored orders with their local time ``adjustedOrderDate``; without them it is computed from the store's
+    longitude. ``salts`` is over how many tasks a busy store is spread in a join with stores too many to broadcast.
+
     Keys are unique in stores, customers, products and orders, and every order item names an existing order and
     product.
     """
@@ -71,6 +79,8 @@ class SalesTables:
     order_source: Callable[[DateSpan | None], DataFrame]
     dimension_bytes: Mapping[str, int] = field(default_factory=dict)
     rollups: Mapping[str, DataFrame] = field(default_factory=dict)
+    extended: DataFrame | None = None
+    salts: int = SALTS
 
     @classmethod
     def from_frames(
@@ -80,11 +90,12 @@ class SalesTables:
         products: DataFrame,
         orders: DataFrame,
         order_items: DataFrame,
+        extended: DataFrame | None = None,
     ) -> SalesTables:
         def order_source(span: DateSpan | None) -> DataFrame:
             return orders if span is None else orders.filter(span.contains(F.col("orderDate")))
 
-        return cls(stores, customers, products, order_items, order_source)
+        return cls(stores, customers, products, order_items, order_source, extended=extended)
 
     def with_rollups(self, rollups: Mapping[str, DataFrame]) -> SalesTables:
         return replace(self, rollups={**self.rollups, **rollups})
@@ -101,16 +112,25 @@ class SalesTables:
         return self.orders().join(self.order_items.select("orderID").distinct(), "orderID", "left_semi")
 
     def join_stores(self, fact: DataFrame, stores: DataFrame, spread: list[str] | None = None) -> DataFrame:
-        return join_dimension(fact, stores, "storeID", spread, self.dimension_bytes.get("stores"))
+        """Inner join with all stores, or with some of them, whose size is then estimated anew."""
+        size = self.dimension_bytes.get("stores")
+        return join_dimension(fact, stores, "storeID", spread, size, self.salts)
+
+    def zone_hours(self) -> Column:
+        """By how many hours a store's local time differs, from its longitude."""
+        return F.floor(F.col("longitude") / 15).cast("int")
 
     def extended_orders(self, span: DateSpan | None = None, stores: DataFrame | None = None) -> DataFrame:
-        """Orders with ``adjustedOrderDate``: the order time shifted to the zone of the store's longitude.
+        """Orders with ``adjustedOrderDate``: as stored, else the order time shifted to the zone of the store's longitude.
 
         ``span`` limits the adjusted date. ``stores`` may be a filtered subset of the stores; orders of the others drop out.
         """
         chosen = self.stores if stores is None else stores
-        shift_hours = F.floor(F.col("longitude") / 15).cast("int")
-        zones = chosen.select("storeID", shift_hours.alias("_shift"))
+        if self.extended is not None:
+            kept = self.extended if span is None else self.extended.filter(span.contains(F.col("adjustedOrderDate")))
+            kept = kept.select("orderID", "customerID", "storeID", "total", "adjustedOrderDate")
+            return kept if stores is None else self.join_stores(kept, chosen.select("storeID"), ["orderID"])
+        zones = chosen.select("storeID", self.zone_hours().alias("_shift"))
         around = None if span is None else span.widened(MAX_ZONE_SHIFT_DAYS)
         zero = F.lit(0)
         extended = self.join_stores(self.orders(around), zones, ["orderID"]).select(

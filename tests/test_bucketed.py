@@ -32,6 +32,13 @@ def test_same_result_without_a_shuffle_by_order(direct, facts, no_broadcast, nam
     assert sorted(rows(report)) == sorted(rows(catalog.REPORTS[name](direct)))
 
 
-def test_an_order_larger_than_a_bucket_is_refused(direct, database):
-    with pytest.raises(bucketed.CrowdedOrder):
-        bucketed.write_facts(direct, database, 5000)
+def test_an_order_larger_than_a_bucket_is_stored_without_buckets(spark, direct):
+    spark.sql("CREATE DATABASE crowded")
+    try:
+        with pytest.warns(UserWarning, match="without buckets"):
+            stored = bucketed.write_facts(direct, "crowded", 1200)
+        assert sorted(rows(catalog.REPORTS["total_items_sold_per_store"](stored))) == sorted(
+            rows(catalog.REPORTS["total_items_sold_per_store"](direct))
+        )
+    finally:
+        spark.sql("DROP DATABASE crowded CASCADE")

@@ -314,3 +314,23 @@ def test_product_totals_beyond_a_long(spark, no_broadcast):
     orders = [(1, "c", "s1", at("2021-01-01T00:00"), "1.00")]
     tables = make_tables(spark, STORES, [], catalogue, orders, [(1, 1, "p", 10**9)] * 2)
     assert rows(store_sales.total_revenue(tables)) == [("s1", Decimal("199999999999999980000000.0000"))]
+
+
+def test_matrices_leave_no_sum_out(spark):
+    from tallyhouse.operators import shaping
+
+    sales = spark.createDataFrame([("s1", "A", 3), ("s1", "New", 4), ("s2", None, 5)], "storeID string, Category string, NumberOfPizzasSold long")
+    got = shaping.store_category_matrix(sales, shaping.names_of(sales, "Category"))
+    assert got.columns == ["storeID", "A", "New", "null"]
+    assert sorted(map(tuple, got.collect())) == [("s1", 3, 4, 0), ("s2", 0, 0, 5)]
+    assert sorted(shaping.store_category_matrix(sales).columns) == sorted(got.columns)
+    with pytest.raises(Exception, match="no column for Category"):
+        shaping.store_category_matrix(sales, ["A"]).collect()
+
+
+def test_shares_of_a_busy_and_a_null_series(spark, no_broadcast):
+    from tallyhouse.operators import shaping
+
+    sales = spark.createDataFrame([("A", i % 2 + 1) for i in range(20)] + [(None, 1), (None, 3), ("null", 2)], "Category string, n long")
+    got = {(r["Category"], r["n"]): float(r["percentage"]) for r in shaping.share_of_total(sales, "n", "Category").collect()}
+    assert got == {("A", 1): 3.33, ("A", 2): 6.67, (None, 1): 25.0, (None, 3): 75.0, ("null", 2): 100.0}

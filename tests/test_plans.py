@@ -48,7 +48,8 @@ def test_only_used_columns_are_read(spark):
         ("daily_order_stats_day", "1998-03-05", "1998-03-06"),
         ("popular_pizza_by_week", "1998-03-02", "1998-03-09"),
         ("daily_order_trends_year", "1998-01-01", "1999-01-01"),
-        ("order_activity_per_hour_week", "1998-01-01", "1999-01-01"),
+        ("order_activity_per_hour_week", "1998-03-08", "1998-03-15"),
+        ("store_performance_week", "1998-03-08", "1998-03-15"),
         ("customer_loyalty", "1997-12-31", "1999-01-02"),
     ],
 )
@@ -132,3 +133,20 @@ def test_items_of_other_dates_can_be_dropped_before_the_shuffle(spark, no_broadc
 def test_number_of_shuffles(spark, no_broadcast, name, shuffles):
     text = plan(spark, name)
     assert len(re.findall(r"Exchange (?:hash|range)partitioning", text)) == shuffles
+
+
+@pytest.mark.parametrize("name", ["total_revenue", "store_profitability", "total_items_sold_per_store", "sales_trends"])
+def test_items_are_summed_per_order_before_they_meet_orders(spark, name):
+    """Products are small enough to broadcast, orders are not: the items' side of the join is an aggregate."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20KB")
+    try:
+        lines = plan(spark, name).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin [orderID" in line)
+    assert re.search(r"HashAggregate\(keys=\[orderID#\d+L\]", "\n".join(lines[join:]))
+
+
+def test_hourly_averages_read_orders_once(spark):
+    for name in ("avg_orders_per_hour", "avg_orders_per_hour_utc"):
+        assert len(scans(plan(spark, name), "orders")) == 1, name
