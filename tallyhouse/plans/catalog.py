@@ -45,6 +45,9 @@ SEASON = "Winter"
 CATEGORY = "PROMO"
 TOP_DATES = 10
 BOX = Box(sw_lat=30.0, sw_lng=-120.0, ne_lat=45.0, ne_lng=-80.0)
+#: Five stores.
+SMALL_BOX = Box(sw_lat=25.0, sw_lng=-125.0, ne_lat=27.9, ne_lng=-119.0)
+ZOOMED = heat.Viewport(zoom=6, width=1200, height=800, origin_x=3000, origin_y=5800)
 FINE_MONTHS, FINE_LIMITS = 1.0, (6, 4, 2)
 
 
@@ -81,6 +84,7 @@ STORE_SALES: dict[str, Report] = {
     "sales_trends_store": _with(store_sales.sales_trends, storeID=STORE),
     "store_profitability": store_sales.store_profitability,
     "store_profitability_year": _with(store_sales.store_profitability, year=YEAR),
+    "store_profitability_store_month": _with(store_sales.store_profitability, storeID=STORE, year=YEAR, month=MONTH),
     "store_sales_comparison": store_sales.store_sales_comparison,
     "store_sales_comparison_weekly": store_sales.store_sales_comparison_weekly,
 }
@@ -115,17 +119,22 @@ ACTIVITY: dict[str, Report] = {
     "order_activity_over_time_month": _with(activity.order_activity_over_time, "month"),
     "weekly_orders": activity.weekly_orders,
     "weekly_orders_year": _with(activity.weekly_orders, year=YEAR),
+    "weekly_orders_store_month": _with(activity.weekly_orders, storeID=STORE, year=YEAR, month=MONTH),
     "order_activity_per_month": activity.order_activity_per_month,
     "order_activity_per_month_store": _with(activity.order_activity_per_month, storeID=STORE, year=YEAR),
     "order_activity_per_hour": activity.order_activity_per_hour,
     "order_activity_per_hour_month": _with(activity.order_activity_per_hour, year=YEAR, month=MONTH),
     "order_activity_per_hour_week": _with(activity.order_activity_per_hour, year=YEAR, week=WEEK_OF_YEAR),
+    "order_activity_per_hour_store_month": _with(activity.order_activity_per_hour, storeID=STORE, year=YEAR, month=MONTH),
     "avg_orders_per_hour": activity.avg_orders_per_hour,
     "avg_orders_per_hour_utc": activity.avg_orders_per_hour_utc,
     "order_trends": activity.order_trends,
     "seasonal_order_analysis": activity.seasonal_order_analysis,
+    "seasonal_order_analysis_top": _with(activity.seasonal_order_analysis, TOP_DATES),
     "seasonal_order_details": _with(activity.seasonal_order_details, SEASON),
+    "seasonal_order_details_top": _with(activity.seasonal_order_details, SEASON, TOP_DATES),
     "holiday_order_analysis": activity.holiday_order_analysis,
+    "holiday_order_analysis_top": _with(activity.holiday_order_analysis, TOP_DATES),
 }
 
 PRODUCTS: dict[str, Report] = {
@@ -147,8 +156,10 @@ PRODUCTS: dict[str, Report] = {
     "sales_data": products.sales_data,
     "category_sales": products.category_sales,
     "category_sales_month": _with(products.category_sales, year=YEAR, month=MONTH),
+    "category_sales_store_month": _with(products.category_sales, storeID=STORE, year=YEAR, month=MONTH),
     "product_preferences": products.product_preferences,
     "product_preferences_month": _with(products.product_preferences, year=YEAR, month=MONTH),
+    "product_preferences_store_month": _with(products.product_preferences, storeID=STORE, year=YEAR, month=MONTH),
     "total_quantity_per_product": products.total_quantity_per_product,
 }
 
@@ -170,8 +181,8 @@ CUSTOMERS: dict[str, Report] = {
 }
 
 
-def _heat_cells(tables: SalesTables) -> DataFrame:
-    return heat.heat_grid(customers.customers_with_orders(tables), "order_count")
+def _heat_cells(tables: SalesTables, **arguments: Any) -> DataFrame:
+    return heat.heat_grid(customers.customers_with_orders(tables), "order_count", **arguments)
 
 
 SHAPING: dict[str, Report] = {
@@ -197,9 +208,14 @@ SHAPING: dict[str, Report] = {
     "loyalty_profile": lambda tables: shaping.loyalty_profile(
         customers.customer_loyalty(tables, BOX, months=FINE_MONTHS, limits=FINE_LIMITS)
     ),
+    "loyalty_profile_few_stores": lambda tables: shaping.loyalty_profile(
+        customers.customer_loyalty(tables, SMALL_BOX, months=FINE_MONTHS, limits=FINE_LIMITS)
+    ),
     "heat_grid": _heat_cells,
+    "heat_grid_zoomed": _with(_heat_cells, view=ZOOMED),
     "heat_intensity": lambda tables: heat.heat_intensity(_heat_cells(tables)),
     "geo_bounds": lambda tables: heat.geo_bounds(tables.customers),
+    "geo_bounds_stores": lambda tables: heat.geo_bounds(tables.stores),
 }
 
 ROLLUPS: dict[str, Report] = {
