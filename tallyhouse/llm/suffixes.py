@@ -3,8 +3,8 @@
 Suffixes are compared by their first 200 bytes. Those at the anchors of :mod:`tallyhouse.llm.windows` decide the bulk: a suffix whose leading gram occurs
 once has no equal, and windows around one whose whole surroundings recur are all repeats. The rest are range-partitioned by the leading bytes of
 their anchor, with splitters that Spark samples; each bucket sorts its suffixes locally by multikey quicksort, eight bytes a step and only among suffixes
-that are still equal, and compares neighbours. A range never parts suffixes of one gram, so equal suffixes never lie on both sides of a boundary; if a
-gram alone has over ``CROWD`` different surroundings, its suffixes leave the buckets and meet by their whole 200 bytes in a grouped count instead.
+that are still equal, and compares neighbours. A range never parts suffixes of one gram, so equal suffixes never lie on both sides of a boundary (whole surroundings, which are compared
+first by their hash, may be parted: the ends of all buckets are then compared with each other); if a gram alone has over ``CROWD`` different surroundings, its suffixes leave the buckets and meet by their whole 200 bytes in a grouped count instead.
 
 Defined results: null counts as empty; texts of fewer than ``length`` bytes keep everything; a string may repeat within its own document, also
 overlapping itself; matches never cross documents; identical rows are documents of their own, so their texts go as a whole; in the output text
@@ -105,6 +105,59 @@ def _bucket(length: int):
     return search
 
 
+NEIGHBOURS = "k1 long, k2 long, lo int, n int, gram long, context long"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket's sorted rows those that equal a neighbour in gram and context, without these two; and the bucket's first and last row with them,
+    as marks to compare across boundaries, whose ``n`` is 0 if they have an equal neighbour inside."""
+    names = ["k1", "k2", "lo", "n", "gram", "context"]
+    held: dict[str, np.ndarray] = {}
+    matched = started = False
+
+    def rows(columns: dict[str, np.ndarray], chosen: np.ndarray) -> pa.RecordBatch:
+        picked = [pa.array(columns[c][chosen]) for c in names[:4]]
+        nothing = pa.nulls(int(chosen.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([*picked, nothing, nothing], names=names)
+
+    def mark(columns: dict[str, np.ndarray], at: int, done: bool) -> pa.RecordBatch:
+        values = {c: columns[c][at : at + 1] for c in names}
+        if done:
+            values["n"] = np.zeros(1, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(values[c]) for c in names], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: batch[c].to_numpy() for c in names}
+        if held:
+            columns = {c: np.concatenate([held[c], v]) for c, v in columns.items()}
+        same = (columns["gram"][1:] == columns["gram"][:-1]) & (columns["context"][1:] == columns["context"][:-1])
+        before = np.concatenate([[matched], same])
+        equal = before[:-1] | same
+        if len(equal):
+            yield rows(columns, np.concatenate([equal, [False]]))
+            if not started:
+                yield mark(columns, 0, bool(equal[0]))
+                started = True
+        held, matched = {c: v[-1:] for c, v in columns.items()}, bool(before[-1])
+    if held:
+        yield rows(held, np.array([matched]))
+        yield mark(held, 0, matched)
+
+
+def _recurring(mixed: DataFrame) -> DataFrame:
+    """The ranges of anchors whose whole context occurs elsewhere: range-partitioned and sorted by gram and context, equal neighbours are such, and a
+    bucket's first and last rows are compared with those of the other buckets. Ranges may part a context that is very common."""
+    order = ["gram", "context", *windows.KEY, "lo"]
+    buckets = mixed.select(*windows.KEY, "lo", "n", "gram", "context").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = common.written(buckets.mapInArrow(_neighbours, NEIGHBOURS), "neighbours")
+    marks = found.filter("gram IS NOT NULL")
+    parted = marks.groupBy("gram", "context").agg(F.count("*").alias("times")).filter("times > 1").select("gram", "context")
+    across = marks.filter("n > 0").join(parted, ["gram", "context"]).select(*windows.KEY, "lo", "n")
+    return found.filter("gram IS NULL").select(*windows.KEY, "lo", "n").unionByName(across)
+
+
 def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Ranges ``(k1, k2, lo, n)`` of window starts in documents of :func:`windows.keyed` whose window also starts elsewhere."""
     looked = windows.Windows(length, gram, windows.byte_symbols)
@@ -113,8 +166,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     mixed = found.filter("mixed")
     first = F.min(F.struct(*windows.KEY, "lo", "n", "off")).alias("first")
     distinct = common.written(mixed.groupBy("gram", "context").agg(F.count("*").alias("copies"), first), "contexts")
-    copied = distinct.filter("copies > 1").select("gram", "context")
-    recurring = mixed.join(copied, ["gram", "context"]).select(*windows.KEY, "lo", "n")
+    recurring = _recurring(mixed)
     cut = windows.contexts(documents, distinct, looked, lambda text: text.encode(), 1)
     lead = F.substring("content", F.col("off") + 1, F.lit(24))
     buckets = cut.withColumn("lead", lead).repartitionByRange("lead", "key").sortWithinPartitions("lead", "key")

@@ -120,3 +120,12 @@ def test_automaton_matches_like_a_search():
         found = "".join(map(str, asked[end + 1 - size : end + 1]))
         assert found in text
         assert size == end + 1 or "".join(map(str, asked[end - size : end + 1])) not in text
+
+
+def test_recurring_contexts_across_buckets(spark):
+    """A context that fills several buckets, ones that end where a bucket does, and single ones."""
+    pick = random.Random(5)
+    rows = [(pick.randrange(3), 7 if pick.random() < 0.5 else pick.randrange(40), i, 0, i, 1) for i in range(300)]
+    frame = spark.createDataFrame(rows, "gram long, context long, k1 long, k2 long, lo int, n int")
+    times = Counter(r[:2] for r in rows)
+    assert sorted(r["k1"] for r in suffixes._recurring(frame).collect()) == [r[2] for r in rows if times[r[:2]] > 1]
