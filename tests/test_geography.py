@@ -122,3 +122,27 @@ def test_intensity_has_a_floor_and_a_ceiling(spark):
 def test_bounds(spark):
     points = spark.createDataFrame([(1.0, 5.0), (-2.0, 7.0), (0.0, -3.0)], POINT)
     assert rows(geo_bounds(points)) == [(-2.0, -3.0, 1.0, 7.0)]
+
+
+def test_two_crowds_half_a_degree_apart(spark):
+    """Most points lie on the rim of most sites' reach, on both sides of it and on its very border."""
+    import random
+
+    from tallyhouse.operators.proximity import nearby_pair_counts
+
+    draw = random.Random(8)
+    spread = [k / 256 for k in range(-24, 25)]
+    points = [(10.0 + draw.choice(spread), 20.0 + draw.choice(spread)) for _ in range(400)] + [(10.0, -0.25), (None, 1.0)]
+    sites = [("n", 10.5 + draw.choice(spread), 20.0 + draw.choice(spread)) for _ in range(60)]
+    sites += [("e", 10.0 + draw.choice(spread), 20.5 + draw.choice(spread)) for _ in range(60)] + [("x", 9.75, -0.5), ("x", None, 0.0)]
+    want = {}
+    for group, lat, lng in sites:
+        near = sum(1 for a, b in points if None not in (a, b, lat, lng) and abs(a - lat) < 0.5 and abs(b - lng) < 0.5)
+        want[group] = want.get(group, 0) + near
+    got = nearby_pair_counts(
+        spark.createDataFrame(points, "latitude double, longitude double"),
+        spark.createDataFrame(sites, "state string, latitude double, longitude double"),
+        "state",
+        0.5,
+    )
+    assert dict(map(tuple, got.collect())) == want
