@@ -8,7 +8,7 @@ Ids are those of a segmentation with the largest sum of scores, as in a unigram
 A vocabulary that was made by merging pairs stores the ranks of its merges as scores; replaying the merges may give other ids, which decode to the same text.
 
 No piece has a word mark after another character, so a text is a sequence of independent chunks that start at word marks. A task keeps the encodings
-of the chunks that it meets, ``CHUNKS`` at most at a time.
+of the chunks that it meets, twice ``CHUNKS`` at most at a time: those met lately, and those of the time before.
 
 Defined results: null and empty texts have no ids and decode to an empty text; the word mark U+2581 itself is written in bytes; ids that are no
 pieces decode to nothing; an empty table gives an empty table; columns of the input named as an output are replaced.
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -31,7 +33,7 @@ from tallyhouse.llm import common
 #: The vocabulary of the registered query; operators take any path.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHUNKS = 400_000
+CHUNKS = 450_000
 WORST = float("-inf")
 #: By how much an unknown character scores below the worst piece.
 UNKNOWN = 10.0
@@ -69,63 +71,74 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         texts = [(p, s, i) for i, (p, s, t) in enumerate(zip(vocabulary.pieces, vocabulary.scores, vocabulary.text, strict=True)) if t and p]
         for piece, score, i in texts:
-            self.automaton.add_word(piece, (len(piece), score, i))
+            self.automaton.add_word(piece.replace(MARK, " "), (len(piece), score, i))
         self.automaton.make_automaton()
         if any(MARK in p[1:].lstrip(MARK) or (p[0] != MARK and MARK in p) for p, _, _ in texts):
             raise ValueError("a piece with a word mark inside needs whole texts as chunks")
-        self.singles = {p for p, _, _ in texts if len(p) == 1}
+        self.singles = {p.replace(MARK, " ") for p, _, _ in texts if len(p) == 1}
         self.bytes = {b: i for i, b in enumerate(vocabulary.byte) if b >= 0}
         if len(self.bytes) < 256:
             raise ValueError("a piece for each byte is needed for encodings that decode exactly")
         self.unknown = min(s for _, s, _ in texts) - UNKNOWN
+        self.bare = (1, self.unknown, -1)
         alone = r"\n" if not any("\n" in p for p, _, _ in texts) else ""
         self.chunks = re.compile(rf"{MARK}|[{alone}]+| +[^ {alone}{MARK}]*|[^ {alone}{MARK}]+" if alone else rf"{MARK}| +[^ {MARK}]*|[^ {MARK}]+")
         self.raw = [
             bytes([b]) if b >= 0 else p.replace(MARK, " ").encode() if t else b""
             for p, b, t in zip(vocabulary.pieces, vocabulary.byte, vocabulary.text, strict=True)
         ]
-        self.known: dict[str, bytes] = {}
-
-    def _unknown(self, end: int, score: list[float], start: list[int]) -> None:
-        """Relax the place after a character that is no piece; pieces that end there are longer and come later."""
-        score[end], start[end] = score[end - 1] + self.unknown, end - 1
+        self.recent: dict[str, bytes] = {}  # encodings of chunks, and those of the generation before
+        self.older: dict[str, bytes] = {}
+
+    def _with_unknown(self, chunk: str, matches) -> Iterator[tuple[int, tuple[int, float, int]]]:
+        """Matches and, before those that end later, each character that is no piece by itself."""
+        unknown = [i for i, c in enumerate(chunk) if c not in self.singles][::-1]
+        for last, found in matches:
+            while unknown and unknown[-1] <= last:
+                yield unknown.pop(), self.bare
+            yield last, found
+        while unknown:
+            yield unknown.pop(), self.bare
 
     def best(self, chunk: str) -> list[int]:
         """The ids of the best segmentation of a chunk; spaces are word marks."""
         if chunk == MARK:
             return [self.bytes[b] for b in MARK.encode()]
-        text = chunk.replace(" ", MARK)
-        n = len(text)
-        score, start, piece = [0.0] + [WORST] * n, [0] * (n + 1), [-1] * (n + 1)
-        lone = [] if self.singles.issuperset(text) else [i + 1 for i, c in enumerate(text) if c not in self.singles]
-        for last, (size, value, number) in self.automaton.iter(text):
-            end = last + 1
-            while lone and lone[0] < end:
-                self._unknown(lone.pop(0), score, start)
-            total = score[end - size] + value
-            if total > score[end]:
-                score[end], start[end], piece[end] = total, end - size, number
-        for end in lone:
-            self._unknown(end, score, start)
-        ids, end = [], n
-        while end:
-            at = start[end]
-            ids.extend([piece[end]] if piece[end] >= 0 else [self.bytes[b] for b in reversed(text[at:end].replace(MARK, " ").encode())])
-            end = at
+        n = len(chunk)
+        score, entry = [WORST] * n + [0.0], [None] * n  # by last place; the place before the first is -1
+        matches = self.automaton.iter(chunk)
+        if not self.singles.issuperset(chunk):
+            matches = self._with_unknown(chunk, matches)
+        for last, found in matches:
+            size, value, _ = found
+            total = score[last - size] + value
+            if total > score[last]:
+                score[last] = total
+                entry[last] = found
+        ids, last = [], n - 1
+        while last >= 0:
+            size, _, number = entry[last]
+            if number >= 0:
+                ids.append(number)
+            else:
+                ids.extend(self.bytes[b] for b in reversed(chunk[last].encode()))
+            last -= size
         return ids[::-1]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        known, parts = self.known, []
+        parts = []
         for chunk in self.chunks.findall(" " + text):
-            ids = known.get(chunk)
+            ids = self.recent.get(chunk)
             if ids is None:
-                if len(known) >= CHUNKS:
-                    known.clear()
-                ids = np.array(self.best(chunk), np.int32).tobytes()
+                ids = self.older.get(chunk)
+                if ids is None:
+                    ids = array("i", self.best(chunk)).tobytes()
                 if len(chunk) < 64:
-                    known[chunk] = ids
+                    if len(self.recent) >= CHUNKS:
+                        self.older, self.recent = self.recent, {}
+                    self.recent[chunk] = ids
             parts.append(ids)
         return np.frombuffer(b"".join(parts), np.int32)
 

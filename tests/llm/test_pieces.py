@@ -74,4 +74,4 @@ def test_a_full_cache_is_emptied(vocabulary, monkeypatch):
     monkeypatch.setattr(pieces, "CHUNKS", 3)
     small = pieces.Encoder(vocabulary)
     text = " ".join(f"word{i}" for i in range(50))
-    assert small.encode(text).tolist() == pieces.Encoder(vocabulary).encode(text).tolist() and len(small.known) <= 3
+    assert small.encode(text).tolist() == pieces.Encoder(vocabulary).encode(text).tolist() and len(small.recent) <= 3
