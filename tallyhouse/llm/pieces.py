@@ -76,6 +76,7 @@ class Encoder:
         if any(MARK in p[1:].lstrip(MARK) or (p[0] != MARK and MARK in p) for p, _, _ in texts):
             raise ValueError("a piece with a word mark inside needs whole texts as chunks")
         self.singles = {p.replace(MARK, " ") for p, _, _ in texts if len(p) == 1}
+        self.pairs = {p[i : i + 2].replace(MARK, " ") for p, _, _ in texts for i in range(len(p) - 1)}
         self.bytes = {b: i for i, b in enumerate(vocabulary.byte) if b >= 0}
         if len(self.bytes) < 256:
             raise ValueError("a piece for each byte is needed for encodings that decode exactly")
@@ -125,21 +126,33 @@ class Encoder:
             last -= size
         return ids[::-1]
 
+    def _kept(self, chunk: str, compute) -> bytes:
+        """The ids of a chunk as bytes, from those kept or else computed and kept."""
+        ids = self.recent.get(chunk) or self.older.get(chunk) or compute(chunk)
+        if len(chunk) < 64:
+            if len(self.recent) >= CHUNKS:
+                self.older, self.recent = self.recent, {}
+            self.recent[chunk] = ids
+        return ids
+
+    def _by_parts(self, chunk: str) -> bytes:
+        """A chunk falls into independent parts between two characters that are neighbours in no piece, as most words and their punctuation are."""
+        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs]
+        if not cuts:
+            return self._best_bytes(chunk)
+        bounds = zip([0, *cuts], [*cuts, len(chunk)], strict=True)
+        return b"".join(self._kept(chunk[a:b], self._best_bytes) for a, b in bounds)
+
+    def _best_bytes(self, chunk: str) -> bytes:
+        return array("i", self.best(chunk)).tobytes()
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        parts = []
-        for chunk in self.chunks.findall(" " + text):
-            ids = self.recent.get(chunk)
-            if ids is None:
-                ids = self.older.get(chunk)
-                if ids is None:
-                    ids = array("i", self.best(chunk)).tobytes()
-                if len(chunk) < 64:
-                    if len(self.recent) >= CHUNKS:
-                        self.older, self.recent = self.recent, {}
-                    self.recent[chunk] = ids
-            parts.append(ids)
+        chunks = self.chunks.findall(" " + text)
+        parts = list(map(self.recent.get, chunks))
+        if None in parts:
+            parts = [self._kept(chunk, self._by_parts) if part is None else part for chunk, part in zip(chunks, parts, strict=True)]
         return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: list[int]) -> str:
@@ -171,7 +184,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
     plain, old = common.guarded(docs)
-    encoded = plain.withColumn("ids", ids(common.whole(old[text])))
+    # Marked as if it were not deterministic, the planner does not run it again inside a function of its result, such as decoding.
+    encoded = plain.withColumn("ids", ids.asNondeterministic()(common.whole(old[text])))
     return encoded.select(*common.restored(old, {"ids": F.col("ids"), "n_tokens": F.size("ids").cast("long")}))
 
 
