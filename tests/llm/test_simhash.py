@@ -116,3 +116,46 @@ def test_identical_rows_leave_one(spark):
     frame = spark.createDataFrame([(1, "a b c d e f g")] * 3 + [(2, "a b c d e f g")] * 2 + [(3, None), (4, "")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.near_duplicates(frame).select("doc_id").collect()) == [1, 3]
     assert simhash.clusters(frame).filter(F.col("doc_id") > 2).select("component_id").distinct().collect() == [(3,)]
+
+
+def survivors(rows, width=5, similar=0.8):
+    """The smallest id of each group, by the similarity of all pairs of whole shingle sets."""
+    sets = []
+    for _, text in rows:
+        words = text.split()
+        sets.append({" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))})
+    roots = grouped(sets, lambda a, b: len(a & b) / len(a | b) >= similar)
+    least = {}
+    for (key, _), root in zip(rows, roots, strict=True):
+        least[root] = min(key, least.get(root, key))
+    return set(least.values())
+
+
+def kept(spark, rows):
+    return {r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def prose(pick, n):
+    return [f"w{pick.randrange(3000)}" for _ in range(n)]
+
+
+def altered(words, changes, name):
+    """A copy with words changed at even distances: five shingles each."""
+    words = [*words]
+    for c in range(changes):
+        words[(2 * c + 1) * len(words) // (2 * changes)] = f"{name}x{c}"
+    return words
+
+
+def test_a_crowded_shard_finds_the_same_groups(spark, monkeypatch):
+    pick, rows = random.Random(7), []
+    footer = prose(pick, 20)
+    for i in range(12):
+        text = prose(pick, 300)
+        rows.append((10 * i + 1, " ".join(text + footer)))
+        for j in range(i % 3):  # 6 of 316 shingles for each change: similarity 0.83 and 0.80
+            rows.append((10 * i + 2 + j, " ".join(altered(text, 6 + j, f"new{i}x{j}") + footer)))
+    want = survivors(rows)
+    assert len(want) < len(rows) and kept(spark, rows) == want
+    monkeypatch.setattr(simhash, "SHARD", 1)
+    assert kept(spark, rows) == want
