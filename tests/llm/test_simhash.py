@@ -159,3 +159,13 @@ def test_a_crowded_shard_finds_the_same_groups(spark, monkeypatch):
     assert len(want) < len(rows) and kept(spark, rows) == want
     monkeypatch.setattr(simhash, "SHARD", 1)
     assert kept(spark, rows) == want
+
+
+def test_texts_with_one_repeated_block_stay_in_a_crowd(spark, monkeypatch):
+    pick = random.Random(8)
+    blocks = [prose(pick, 12) for _ in range(3000)]  # that of the smallest shingle hash is a key of every text
+    block = min(blocks, key=lambda b: simhash.shingle_hashes(" ".join(b), 5).min())
+    rows = [(i, " ".join(prose(pick, 300) + block * 150)) for i in range(30)]
+    assert survivors(rows) == set(range(30))
+    monkeypatch.setattr(simhash, "SHARD", 1)
+    assert kept(spark, rows) == set(range(30))
