@@ -169,3 +169,12 @@ def test_texts_with_one_repeated_block_stay_in_a_crowd(spark, monkeypatch):
     assert survivors(rows) == set(range(30))
     monkeypatch.setattr(simhash, "SHARD", 1)
     assert kept(spark, rows) == set(range(30))
+
+
+def test_a_repeated_block_does_not_hide_a_copy(spark):
+    pick, rows = random.Random(9), []
+    for i in range(8):
+        text = prose(pick, 300)
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(text + prose(pick, 12) * 20))]
+    assert survivors(rows) == {10 * i for i in range(8)}
+    assert kept(spark, rows) == {10 * i for i in range(8)}
