@@ -178,3 +178,12 @@ def test_a_repeated_block_does_not_hide_a_copy(spark):
         rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(text + prose(pick, 12) * 20))]
     assert survivors(rows) == {10 * i for i in range(8)}
     assert kept(spark, rows) == {10 * i for i in range(8)}
+
+
+def test_the_whole_sets_decide(spark):
+    pick, rows = random.Random(10), []
+    for i in range(40):
+        text = prose(pick, 1000)
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(altered(text, 17 + i % 12, f"new{i}")))]  # similarity 0.75 to 0.84
+    want = survivors(rows)
+    assert 40 < len(want) < 80 and kept(spark, rows) == want
