@@ -1,4 +1,4 @@
-"""SimHash near-duplicates with BK-trees, and near-duplicates by the exact similarity of shingle sets.
+"""SimHash near-duplicates with BK-trees.
 
 A fingerprint bit is 1 if it is set in over half of the hashes of a text's word shingles. :func:`links` finds every pair of distinct
 fingerprints within ``radius`` 4 bits. The 64 bits form six parts; two fingerprints that differ in four bits at most agree in two parts, so
@@ -8,17 +8,7 @@ hang on edges numbered by their Hamming distance from the parent; a search follo
 two of its groups, never all pairs. Shards of over 8,192 distinct fingerprints are not held: their fingerprints go to :func:`dense_links`,
 which meets at midpoints, 2,081 rows for each fingerprint and no pairs; that is exact as well.
 
-:func:`near_duplicates` connects texts whose sets of distinct shingles have a similarity (intersection over union) of 0.8 or more. Such pairs can
-differ in any number of fingerprint bits, since a fingerprint weighs repeated shingles, so no fingerprint takes part. Every step that leaves
-texts or pairs out follows from the bound itself (shingles are told apart by 64-bit hashes):
-
-* Of a pair of similarity s, the smaller prefixes of both sets in any one order share a known number of shingles. With the order of the hashes,
-  a text leaves whose prefix (three tenths of its shingles) has fewer shingles in common with all other prefixes together.
-* For the rest, with the order of frequency, rare first, two similar texts share one shingle of the first fifth. Texts are linked to the
-  smallest one with the same shingle; all similar pairs lie within the components of these links.
-* The whole set of a text goes to the shard of its component, where an index on the rare shingles gives candidates that are in different groups
-  yet, and the two sets decide. A component of more than ``SHARD`` texts or ``CELLS`` shingles is cut into blocks, and each pair of blocks is
-  a shard: all pairs still meet, at a cost that grows with the square of the number of blocks.
+:func:`near_duplicates` keeps one row of each component. No similarity of words is asked for beside the bits.
 
 Defined results: null and empty texts have fingerprint zero and link to each other; fewer words than a shingle make one shingle; copies share
 a fingerprint, whose group takes part once; null ids are ignored for the smallest id of a group; an empty table gives an empty table.
@@ -26,15 +16,15 @@ a fingerprint, whose group takes part once; null ids are ignored for the smalles
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tallyhouse.llm import common
 from tallyhouse.llm.components import components
@@ -44,11 +34,6 @@ RADIUS = 4
 PARTS = (11, 11, 11, 11, 10, 10)
 #: Distinct fingerprints of a shard that one tree may hold.
 SHARD = 8192
-#: Distinct shingles of a component that one block may hold.
-CELLS = 1 << 20
-SIMILAR = 0.8
-#: Shingles that a prefix has beyond the shortest one, as a share of its text's; similar texts have that share in common there.
-SURPLUS = 0.1
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -201,14 +186,18 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.filter("not crowded").select("a", "b").unionByName(dense_links(crowd))
 
 
+def roots(prints: DataFrame, radius: int) -> DataFrame:
+    """A table of distinct fingerprints ``print`` with the ``root`` of each one's component."""
+    labels = components(links(prints.select("print"), radius)).withColumnRenamed("node", "print")
+    return prints.join(labels, "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = RADIUS) -> DataFrame:
     """``docs`` with ``fingerprint`` (long) and ``component_id``: the smallest ``key`` reachable over links within ``radius`` bits."""
     plain, old = common.guarded(docs)
     columns = [c for name, c in old.items() if name != text]
     marked = common.written(plain.select(*columns, fingerprint(old[text], width).alias("print")), "fingerprints")
-    firsts = marked.groupBy("print").agg(F.min(old[key]).alias("first"))
-    labels = components(links(firsts.select("print"))).withColumnRenamed("node", "print")
-    rooted = firsts.join(labels, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = roots(marked.groupBy("print").agg(F.min(old[key]).alias("first")), radius)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = rooted.join(smallest, "root").select("print", "component_id")
     kept = {name: c for name, c in old.items() if name != text}
@@ -217,119 +206,20 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     )
 
 
-def least_common(n: int, similar: float) -> int:
-    """Shingles that a set of ``n`` has in common with any set of that similarity, at least."""
-    return max(1, math.ceil(similar * n - 1e-9))
-
-
-def set_links(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
-    """Pairs of positions of similarity ``similar`` or more that connect the sets exactly as all such pairs would."""
-    sizes = [len(s) for s in sets]
-    _, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    alone = int((counts == 1).sum())
-    ranked = [np.sort(r) for r in np.split(rank[number.ravel()], np.cumsum(sizes)[:-1])]
-    groups, found = Groups(len(sets)), []
-    index: dict[int, dict[int, list[int]]] = {}  # shingle -> group as it was -> positions
-    for i, mine in enumerate(ranked):
-        prefix = mine[: sizes[i] - least_common(sizes[i], similar) + 1]
-        prefix = prefix[np.searchsorted(prefix, alone) :].tolist()
-        tried = set()
-        for shingle in prefix:
-            for group, members in index.get(shingle, {}).items():
-                if groups.find(group) == groups.find(i):
-                    continue
-                for j in members:
-                    if j in tried:
-                        continue
-                    tried.add(j)
-                    if min(sizes[i], sizes[j]) / max(sizes[i], sizes[j]) < similar:
-                        continue
-                    both = len(np.intersect1d(mine, ranked[j], assume_unique=True))
-                    if both / (sizes[i] + sizes[j] - both) >= similar:
-                        groups.join(i, j)
-                        found.append((j, i))
-                        break
-        root = groups.find(i)
-        for shingle in prefix:
-            index.setdefault(shingle, {}).setdefault(root, []).append(i)
-    return found
-
-
-def similar_texts(plain: DataFrame, text: Column, width: int, similar: float) -> DataFrame:
-    """Links ``(a, b)`` that connect the texts of ``plain (node, order, ...)`` exactly as all pairs of that similarity would."""
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], dtype=object)
-
-    @F.pandas_udf("keys array<long>, need long")
-    def leading(texts: pd.Series) -> pd.DataFrame:
-        keys, need = [], []
-        for t in texts:
-            hashes = np.unique(shingle_hashes(t, width)).view(np.int64)
-            least = least_common(len(hashes), similar)
-            keys.append(hashes[: max(0, len(hashes) - least + 1 + int(SURPLUS * len(hashes)))])
-            need.append(1 + int(SURPLUS * least))
-        return pd.DataFrame({"keys": keys, "need": need})
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in common.shards(batches, 1 << 62):
-            nodes, lists = rows["node"].to_numpy(), rows["set"].combine_chunks()
-            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            if found := set_links([flat[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)], similar):
-                i, j = np.array(found).T
-                yield pa.RecordBatch.from_pydict({"a": nodes[i], "b": nodes[j]})
-
-    prefixes = common.written(plain.select("node", "order", leading(text).alias("p")).select("node", "order", "p.*"), "prefixes")
-    grams = prefixes.select("node", "order", "need", F.explode("keys").alias("key"))
-    shared = grams.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    met = grams.join(shared, "key", "left_semi").groupBy("node").agg(F.min("order").alias("order"), F.count("*").alias("n"), F.first("need").alias("need"))
-    single = plain.select("node", "order", text.alias("body")).join(met.filter("n >= need").select("node", "order"), ["node", "order"], "left_semi")
-    sets = common.written(single.dropDuplicates(["node", "order"]).select("node", shingles(F.col("body")).alias("set")), "sets")
-
-    sized = sets.select("node", F.size("set").alias("n"), "set")
-    grams = sized.select("node", "n", F.explode("set").alias("key"))
-    often = grams.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
-    of_node = Window.partitionBy("node")
-    ranked = grams.join(often, "key").select(
-        "*", F.count("*").over(of_node).alias("shared"), F.row_number().over(of_node.orderBy("often", "key")).alias("at")
-    )
-    least = F.greatest(F.lit(1), F.ceil(F.lit(float(similar)) * F.col("n") - 1e-9))
-    rare = common.written(ranked.filter(F.col("at") <= F.col("shared") - least + 1).select("node", "key"), "rare")
-    first = rare.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    parts = components(rare.join(first, "key").filter("node <> b").select(F.col("node").alias("a"), "b"))
-
-    placed = parts.join(sized.select("node", "n"), "node")
-    blocks = placed.groupBy("root").agg(
-        F.ceil(F.greatest(F.count("*") / F.lit(SHARD), F.sum("n") / F.lit(CELLS))).cast("int").alias("blocks")
-    )
-    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
-    placed = placed.join(blocks, "root").select("node", "root", "blocks", block.alias("block"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))
-    )
-    shards = placed.join(sets, "node").select("node", "root", "block", "set", F.explode(others).alias("other"))
-    key = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
-    keyed = shards.select("node", "set", key.alias("key")).repartition("key").sortWithinPartitions("key", "node")
-    return common.written(keyed.mapInArrow(search, "a long, b long"), "links")
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: float = SIMILAR) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates, that of the smallest ``key`` (nulls last): groups are what links of a similarity of
-    ``similar`` or more between shingle sets of ``width`` words connect; rows of equal text are one group in any case."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each component of :func:`clusters`: the row of the smallest ``key`` (nulls last), of equal keys that of the smallest hash of the
+    whole row; of rows that are equal in all columns one stays."""
     plain, old = common.guarded(docs)
-    node, order = common.text_key(old[text])[0], F.coalesce(old[key], F.lit((1 << 63) - 1).cast("long"))
-    plain = plain.withColumn("node", node).withColumn("order", order)
-    texts = plain.groupBy("node").agg(F.min("order").alias("first"))
-    labels = components(similar_texts(plain, old[text], width, similar))
-    rooted = texts.select("node", "first").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min(F.struct("first", "node")).alias("kept")).select("kept.node", F.col("kept.first").alias("order"))
-    survivors = plain.join(best, ["node", "order"], "left_semi")
-    repeated = plain.groupBy("node", "order").count().filter("count > 1")
+    hashed = [F.col(f.name) for f in plain.schema.fields if not isinstance(f.dataType, MapType)]
+    order = F.struct(old[key].isNull().alias("none"), old[key].alias("key"), F.xxhash64(*hashed).alias("h"), F.xxhash64(F.lit("row"), *hashed).alias("g"))
+    ordered = plain.withColumn("order", order)
+    marked = common.written(ordered.select("order", fingerprint(old[text], width).alias("print")), "fingerprints")
+    rooted = roots(marked.groupBy("print").agg(F.min("order").alias("order")), radius)
+    best = rooted.groupBy("root").agg(F.min("order").alias("order")).select("order")
+    survivors = ordered.join(best, "order", "left_semi")
+    repeated = marked.groupBy("order").agg(F.count("*").alias("n")).filter("n > 1").select("order").join(best, "order", "left_semi")
     if repeated.limit(1).count():
-        survivors = survivors.dropDuplicates(["node", "order"])
+        survivors = survivors.dropDuplicates(["order"])
     return survivors.select(*common.restored(old, {}))
 
 
