@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return simhash.near_duplicates(docs)
+    """Keeps one document, that of the smallest id, of each component of fingerprints: four-word shingles, links at four or fewer differing bits."""
+    return simhash.near_duplicates(docs, width=4, radius=4)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
