@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import automata, html, language, merkle, mixing, neighbours, pieces, quality, simhash, suffixes
+from tallyhouse.llm import (
+    automata,
+    conversations,
+    html,
+    language,
+    merkle,
+    mixing,
+    neighbours,
+    periodic,
+    pieces,
+    quality,
+    simhash,
+    suffixes,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_substring_dedup": automata.op9_substring_dedup,
         "op10_language_id": language.op10_language_id,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
