@@ -19,6 +19,7 @@ from tallyhouse.llm import (
     quality,
     simhash,
     suffixes,
+    toxicity,
 )
 
 
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": automata.op9_substring_dedup,
         "op10_language_id": language.op10_language_id,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_toxicity": toxicity.op12_toxicity,
         "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
