@@ -273,10 +273,11 @@ def _from_sales(
         sales, measures = _stored_item_sales(stored, spec, keys, equals, span), PRODUCT_MEASURES
     else:
         measures = ITEM_MEASURES
-        sales = _keep(tables.order_items, spec, "items", equals).select(
+        joined = spec.reads("orders", touched)
+        sales = _keep(tables.items(span if joined else None), spec, "items", equals).select(
             "orderID", "SKU", *_compact_columns(spec, "items", keys), F.col("Quantity").alias("_quantity")
         )
-        if spec.reads("orders", touched):
+        if joined:
             orders = _keep(tables.orders(span), spec, "orders", equals)
             sales = sales.join(orders.select("orderID", *_compact_columns(spec, "orders", keys)), "orderID")
     priced = any(measure in PRICED_MEASURES for measure in spec.measures.values())
@@ -307,7 +308,7 @@ def _summed_per_order(
     items it has. None where that needs prices of products too many to broadcast, or no order is read."""
     if not spec.reads("orders", [*keys, *equals]):
         return None
-    items = tables.order_items.select("orderID", "SKU", F.col("Quantity").alias("_quantity"))
+    items = tables.items(span).select("orderID", "SKU", F.col("Quantity").alias("_quantity"))
     if any(measure in PRICED_MEASURES for measure in spec.measures.values()):
         price, cost = F.col("Price").cast(PRICE), F.col("production_costs").cast(PRICE)
         products = tables.products.select("SKU", price_units(price).alias("_price"), price_units(price - cost).alias("_margin"))
@@ -435,7 +436,7 @@ def order_stats(
     orders = tables.orders(days).select(
         "orderID", "storeID", "total", key.compact().alias("_period")
     )
-    items = tables.order_items.groupBy("orderID").agg(F.sum("Quantity").alias("_items"))
+    items = tables.items(days).groupBy("orderID").agg(F.sum("Quantity").alias("_items"))
     return (
         orders.join(items, "orderID", "left")
         .groupBy("storeID", "_period")

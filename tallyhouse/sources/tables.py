@@ -62,7 +62,7 @@ class SalesTables:
     """Base tables, plus stored rollups that operators read instead of the facts when they are given.
 
     ``order_source(span)`` returns the orders of a range of days (all of them for ``None``), so that a source can push the
-    range into its own scan. ``dimension_bytes`` states the size of a dimension where the estimate of its plan
+    range into its own scan. ``item_source(span)``, where given, returns items that include all of the orders of those days. ``dimension_bytes`` states the size of a dimension where the estimate of its plan
     would be far off, as for one that is itself a join.
 
     ``extended`` are stored orders with their local time ``adjustedOrderDate``; without them it is computed from the store's
@@ -81,6 +81,7 @@ class SalesTables:
     rollups: Mapping[str, DataFrame] = field(default_factory=dict)
     extended: DataFrame | None = None
     salts: int = SALTS
+    item_source: Callable[[DateSpan | None], DataFrame] | None = None
 
     @classmethod
     def from_frames(
@@ -103,6 +104,10 @@ class SalesTables:
     def orders(self, span: DateSpan | None = None) -> DataFrame:
         return self.order_source(span)
 
+    def items(self, span: DateSpan | None = None) -> DataFrame:
+        """Items to be joined with ``orders(span)``: all of theirs, and maybe others."""
+        return self.order_items if span is None or self.item_source is None else self.item_source(span)
+
     def sold_orders(self) -> DataFrame:
         """Orders that have at least one item.
 
