@@ -8,7 +8,8 @@ Ids are those of a segmentation with the largest sum of scores, as in a unigram
 A vocabulary that was made by merging pairs stores the ranks of its merges as scores; replaying the merges may give other ids, which decode to the same text.
 
 No piece has a word mark after another character, so a text is a sequence of independent chunks that start at word marks. A task keeps the encodings
-of the chunks that it meets, twice ``CHUNKS`` at most at a time: those met lately, and those of the time before.
+of the chunks that it meets, in ``CACHE`` bytes at most: those met lately, and those of the time before. Decoding needs the bytes of each piece only,
+no automaton.
 
 Defined results: null and empty texts have no ids and decode to an empty text; the word mark U+2581 itself is written in bytes; ids that are no
 pieces decode to nothing; an empty table gives an empty table; columns of the input named as an output are replaced.
@@ -18,8 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -33,7 +35,10 @@ from tallyhouse.llm import common
 #: The vocabulary of the registered query; operators take any path.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHUNKS = 450_000
+#: Bytes of memory for the encodings that a worker process keeps, over both generations.
+CACHE = 100_000_000
+#: What an entry of a dictionary takes beside its key and value, with room for growth.
+ENTRY = 110
 WORST = float("-inf")
 #: By how much an unknown character scores below the worst piece.
 UNKNOWN = 10.0
@@ -64,8 +69,23 @@ class Vocabulary:
         return hashlib.sha256(repr((self.pieces, self.scores)).encode()).hexdigest()
 
 
+class Decoder:
+    """Decodes with one vocabulary: a list of bytes by id."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.raw = [
+            bytes([b]) if b >= 0 else p.replace(MARK, " ").encode() if t else b""
+            for p, b, t in zip(vocabulary.pieces, vocabulary.byte, vocabulary.text, strict=True)
+        ]
+
+    def decode(self, ids: Iterable[int]) -> str:
+        raw, size = self.raw, len(self.raw)
+        text = b"".join([raw[i] for i in ids if 0 <= i < size]).decode(errors="replace")
+        return text.removeprefix(" ")
+
+
 class Encoder:
-    """Encodes and decodes with one vocabulary."""
+    """Encodes with one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -84,12 +104,9 @@ class Encoder:
         self.bare = (1, self.unknown, -1)
         alone = r"\n" if not any("\n" in p for p, _, _ in texts) else ""
         self.chunks = re.compile(rf"{MARK}|[{alone}]+| +[^ {alone}{MARK}]*|[^ {alone}{MARK}]+" if alone else rf"{MARK}| +[^ {MARK}]*|[^ {MARK}]+")
-        self.raw = [
-            bytes([b]) if b >= 0 else p.replace(MARK, " ").encode() if t else b""
-            for p, b, t in zip(vocabulary.pieces, vocabulary.byte, vocabulary.text, strict=True)
-        ]
         self.recent: dict[str, bytes] = {}  # encodings of chunks, and those of the generation before
         self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the recent ones
 
     def _with_unknown(self, chunk: str, matches) -> Iterator[tuple[int, tuple[int, float, int]]]:
         """Matches and, before those that end later, each character that is no piece by itself."""
@@ -130,8 +147,9 @@ class Encoder:
         """The ids of a chunk as bytes, from those kept or else computed and kept."""
         ids = self.recent.get(chunk) or self.older.get(chunk) or compute(chunk)
         if len(chunk) < 64:
-            if len(self.recent) >= CHUNKS:
-                self.older, self.recent = self.recent, {}
+            self.held += sys.getsizeof(chunk) + sys.getsizeof(ids) + ENTRY
+            if self.held > CACHE // 2:
+                self.older, self.recent, self.held = self.recent, {}, 0
             self.recent[chunk] = ids
         return ids
 
@@ -155,21 +173,15 @@ class Encoder:
             parts = [self._kept(chunk, self._by_parts) if part is None else part for chunk, part in zip(chunks, parts, strict=True)]
         return np.frombuffer(b"".join(parts), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        raw, size = self.raw, len(self.raw)
-        text = b"".join([raw[i] for i in ids if 0 <= i < size]).decode(errors="replace")
-        return text.removeprefix(" ")
-
 
-_encoders: dict[str, Encoder] = {}
+_made: dict[type, tuple[str, Encoder | Decoder]] = {}
 
 
-def _encoder(shared, digest: str) -> Encoder:
-    """The encoder of a worker process, made once from the broadcast vocabulary."""
-    if digest not in _encoders:
-        _encoders.clear()
-        _encoders[digest] = Encoder(shared.value)
-    return _encoders[digest]
+def _of_worker(kind: type, shared, digest: str):
+    """The encoder or decoder of a worker process, made once from the broadcast vocabulary."""
+    if _made.get(kind, ("",))[0] != digest:
+        _made[kind] = (digest, kind(shared.value))
+    return _made[kind][1]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -178,7 +190,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(shared, digest)
+        encoder = _of_worker(Encoder, shared, digest)
         found = [encoder.encode(t.as_py()) for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
@@ -195,8 +207,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
-        encoder = _encoder(shared, digest)
-        return pa.array([encoder.decode(v.values.to_pylist() if v.is_valid else []) for v in lists], pa.string())
+        decoder = _of_worker(Decoder, shared, digest)
+        return pa.array([decoder.decode(v.values.to_pylist() if v.is_valid else []) for v in lists], pa.string())
 
     plain, old = common.guarded(encoded)
     return plain.select(*common.restored(old, {name: texts(old[ids])}))
