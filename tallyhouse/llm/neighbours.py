@@ -1,15 +1,21 @@
 """Approximate nearest neighbours by largest inner product: inverted lists scanned over dimensions that adapt to each candidate.
 
-Inner products become distances by one more component that gives all vectors the length of the longest. Vectors are kept in the list of their
-nearest centroid; a query probes the lists of the nearest centroids. Within a list, vectors and query are rotated at random and compared in blocks of
-columns: after ``d`` of ``D`` columns a candidate is abandoned if its partial distance, scaled by ``D / d``, exceeds the distance of the twentieth best so far
-by more than the test of the hypothesis "it is nearer" allows (``1 + SLACK / sqrt(d)``). Candidates that survive all columns are scored in double
-precision on the original vectors.
+Inner products become distances by one more component that gives all vectors the length of the longest. A vector is kept in the list of its nearest coarse
+centroid and, for what that leaves, its nearest fine centroid; a query probes the lists whose sums of both centroids are nearest. Lists hold ``LIST`` vectors on
+average at every size of the table. All is done in two rounds:
+
+* the first scores the nearest list of each query in full, so that its ``k``-th best is a true bound on the distance of what is still to be found;
+* the second takes that bound into the other lists. Vectors and queries are rotated at random and compared in blocks of columns: after ``d`` of ``D`` columns a
+  candidate is abandoned if its partial distance, scaled by ``D / d``, exceeds the bound by more than the test of the hypothesis "it is nearer" allows
+  (``1 + SLACK / sqrt(d)``). A block of columns is one matrix product for many queries while many candidates are left, and is computed for single
+  pairs after that.
+
+Candidates that survive all columns are scored in double precision on the original vectors.
 
 Centroids, the longest length, and the number of probes are found first: centroids and probes on ``SAMPLE`` vectors at most, taken in the order of a hash
 (probes: the fewest that find 98% of the true neighbours within the sample); every vector is indexed. A list is cut into chunks of about ``CHUNK``
-vectors and its queries into blocks of as many, so that a crowded list, such as that of a vector with many copies, is many tasks; sizes of lists, a few
-hundred numbers, are all that reaches the driver.
+vectors and its queries into blocks of as many, so that a crowded list, such as that of a vector with many copies, is many tasks. The driver gets the sizes
+of the lists, one number for ``LIST`` vectors, and no rows.
 
 Defined results: vectors that are null, zero, of another length than the most common, or hold a null or non-finite component take no part; each query gets
 ``k`` rows or as many as there are candidates; equal scores rank by smaller id; rows of the query's own id are no candidates; a repeated query id is
@@ -18,6 +24,7 @@ asked once; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,37 +39,59 @@ K = 20
 SAMPLE = 20_000
 PROBED_QUERIES = 400
 WANTED = 0.98
+LIST = 512
 CHUNK = 4096
 COLUMNS = 16
 SLACK = 2.1
 SEED = 8
+#: Queries compared with a chunk at a time, and the share of candidates below which pairs are compared one by one.
+QUERIES = 128
+FEW = 0.05
+#: Pairs scored at a time.
+PAIRS = 16_384
+FOUND = "query_id long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
 class Index:
-    """What tasks need of an index; its size depends on dimensions and lists only."""
+    """What tasks need of an index. A list has the number ``coarse * len(fine) + fine``."""
 
     rotation: np.ndarray
-    centroids: np.ndarray
+    coarse: np.ndarray
+    fine: np.ndarray
     longest: float
     probes: int
 
+    @property
+    def lists(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
     def lifted(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
         """Vectors with the component that turns inner products into distances (0 for queries)."""
         rest = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(0, self.longest**2 - (vectors**2).sum(1)))
         return np.concatenate([vectors, rest[:, None]], 1)
 
-    def distances(self, lifted: np.ndarray) -> np.ndarray:
-        return (self.centroids**2).sum(1) - 2 * lifted @ self.centroids.T
+    def list_of(self, vectors: np.ndarray) -> np.ndarray:
+        lifted = self.lifted(vectors)
+        coarse = _nearest(lifted, self.coarse)
+        return coarse * len(self.fine) + _nearest(lifted - self.coarse[coarse], self.fine)
+
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """For each query, all lists by the distance of their centroid."""
+        lifted = self.lifted(queries, query=True)
+        coarse = ((self.coarse**2).sum(1) - 2 * lifted @ self.coarse.T)[:, :, None]
+        fine = ((self.fine**2).sum(1) - 2 * lifted @ self.fine.T)[:, None, :]
+        return np.argsort((coarse + fine + 2 * (self.coarse @ self.fine.T)).reshape(len(lifted), -1), axis=1)
+
 
-    def lists(self, vectors: np.ndarray) -> np.ndarray:
-        return self.distances(self.lifted(vectors)).argmin(1)
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1) - 2 * points @ centres.T).argmin(1)
 
 
 def _means(points: np.ndarray, n: int, random: np.random.Generator, rounds: int = 12) -> np.ndarray:
     centres = points[random.choice(len(points), n, replace=False)]
     for _ in range(rounds):
-        nearest = ((centres**2).sum(1) - 2 * points @ centres.T).argmin(1)
+        nearest = _nearest(points, centres)
         counts = np.bincount(nearest, minlength=n)
         sums = np.stack([np.bincount(nearest, weights=column, minlength=n) for column in points.T], 1)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
@@ -70,62 +99,89 @@ def _means(points: np.ndarray, n: int, random: np.random.Generator, rounds: int
 
 
 def fit(sample: np.ndarray, longest: float, lists: int, k: int = K, seed: int = SEED) -> Index:
-    """An index of ``lists`` lists from a sample of vectors."""
+    """An index of about ``lists`` lists from a sample of vectors."""
     random = np.random.default_rng(seed)
     size = sample.shape[1] + 1
     rotation = np.linalg.qr(random.normal(size=(size, size)))[0]
-    empty = Index(rotation, np.zeros((1, size)), longest, 1)
+    empty = Index(rotation, np.zeros((1, size)), np.zeros((1, size)), longest, 1)
     points = empty.lifted(sample)
-    centroids = _means(points, min(lists, len(points)), random)
-    index = Index(rotation, centroids, longest, 1)
+    coarse = _means(points, min(math.ceil(lists**0.5), len(points)), random)
+    fine = _means(points - coarse[_nearest(points, coarse)], min(math.ceil(lists / len(coarse)), len(points)), random)
+    index = Index(rotation, coarse, fine, longest, 1)
+    of = index.list_of(sample)
     asked = random.choice(len(sample), min(PROBED_QUERIES, len(sample)), replace=False)
-    products = sample[asked] @ sample.T
-    products[np.arange(len(asked)), asked] = -np.inf
-    near = np.argsort(-products, axis=1)[:, : min(k, max(1, len(sample) - 1))]
-    of = index.distances(points).argmin(1)
-    order = np.argsort(index.distances(index.lifted(sample[asked], query=True)), axis=1)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
-    needed = np.sort(np.take_along_axis(place, of[near], 1).ravel())
-    probes = int(needed[min(len(needed) - 1, int(np.ceil(WANTED * len(needed))))]) + 1
-    return Index(rotation, centroids, longest, probes)
-
-
-def scan(base: np.ndarray, turned: np.ndarray, query: np.ndarray, turned_query: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the candidates that may be among the ``k`` nearest; at least the ``k`` nearest of the first few."""
-    n, size = turned.shape
-    first = min(n, max(4 * k, 64))
-    exact = ((turned[:first] - turned_query) ** 2).sum(1)
-    if n <= first:
-        return np.arange(n)
-    bound = np.partition(exact, min(k, first) - 1)[min(k, first) - 1]
-    alive, partial = np.arange(first, n), np.zeros(n - first)
+    needed = []
+    for i in asked.tolist():
+        products = sample @ sample[i]
+        products[i] = -np.inf
+        near = np.argsort(-products)[: min(k, max(1, len(sample) - 1))]
+        place = np.empty(index.lists, int)
+        place[index.order(sample[i : i + 1])[0]] = np.arange(index.lists)
+        needed.append(place[of[near]])
+    ranked = np.sort(np.concatenate(needed))
+    return Index(rotation, coarse, fine, longest, int(ranked[min(len(ranked) - 1, math.ceil(WANTED * len(ranked)))]) + 1)
+
+
+def survivors(turned: np.ndarray, turned_queries: np.ndarray, bounds: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that the test leaves after all columns; ``bounds`` are the squared distances of each query's ``k``-th best so far."""
+    size = turned.shape[1]
+    alive, partial = np.ones((len(turned_queries), len(turned)), bool), np.zeros((len(turned_queries), len(turned)))
+    i = j = near = None
     for at in range(0, size, COLUMNS):
         to = min(size, at + COLUMNS)
-        partial += ((turned[alive, at:to] - turned_query[at:to]) ** 2).sum(1)
         slack = 1.0 + SLACK / np.sqrt(to) if to < size else 1.0 + 1e-9
-        near = partial * (size / to) <= bound * slack**2
-        alive, partial = alive[near], partial[near]
-    return np.concatenate([np.arange(first), alive])
+        limit = (bounds * slack**2 + 1e-9 * scale) * (to / size)
+        a, b = turned_queries[:, at:to], turned[:, at:to]
+        if i is None:
+            partial += (a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T
+            alive &= partial <= limit[:, None]
+            if to == size or alive.mean() < FEW:
+                i, j = np.nonzero(alive)
+                near = partial[i, j]
+        else:
+            near = near + ((a[i] - b[j]) ** 2).sum(1)
+            kept = near <= limit[i]
+            i, j, near = i[kept], j[kept], near[kept]
+    return i, j
+
+
+def _ranked(i: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` best of each query among pairs."""
+    order = np.lexsort((ids, -scores, i))
+    starts = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]])) if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[rank < k]
 
 
 def search_block(base: pd.DataFrame, queries: pd.DataFrame, index: Index, k: int) -> pd.DataFrame:
-    """The ``k`` nearest of a chunk for each query of a block."""
+    """The ``k`` nearest of a chunk for each query of a block, of those that score ``bound`` or more; a null bound asks for all."""
     if base.empty or queries.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
     vectors, ids = np.stack(base["vector"].to_numpy()), base["vec_id"].to_numpy()
-    asked = np.stack(queries["vector"].to_numpy())
+    asked, query_ids = np.stack(queries["vector"].to_numpy()), queries["query_id"].to_numpy()
+    bound = queries["bound"].to_numpy(float)
+    scale = index.longest**2
     turned, turned_queries = index.lifted(vectors) @ index.rotation, index.lifted(asked, query=True) @ index.rotation
-    out_query, out_id, out_score = [], [], []
-    for i, query_id in enumerate(queries["query_id"].to_numpy()):
-        near = scan(vectors, turned, asked[i], turned_queries[i], k + 1)
-        near = near[ids[near] != query_id]
-        scores = (vectors[near] * asked[i]).sum(1)
-        best = np.lexsort((ids[near], -scores))[:k]
-        out_query.append(np.full(len(best), query_id))
-        out_id.append(ids[near][best])
-        out_score.append(scores[best])
-    return pd.DataFrame({"query_id": np.concatenate(out_query), "vec_id": np.concatenate(out_id), "score": np.concatenate(out_score)})
+    limits = np.where(np.isnan(bound), np.inf, np.maximum(0, (asked**2).sum(1) + scale - 2 * bound))
+    found = []
+    for at in range(0, len(asked), QUERIES):
+        part = slice(at, at + QUERIES)
+        products = None
+        if np.isinf(limits[part]).any():  # the best k by a matrix product, with what may tie them, are such a bound as well
+            products = asked[part] @ vectors.T
+            products[query_ids[part][:, None] == ids[None, :]] = -np.inf
+            kth = np.partition(products, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+            own = np.where(np.isfinite(kth), np.maximum(0, (asked[part] ** 2).sum(1) + scale - 2 * kth), np.inf)
+            limits[part] = np.minimum(limits[part], own)
+        i, j = survivors(turned, turned_queries[part], limits[part], scale)
+        other = query_ids[part][i] != ids[j]
+        i, j = i[other], j[other]
+        pieces = range(0, len(i), PAIRS)
+        scores = np.concatenate([np.zeros(0)] + [(vectors[j[p : p + PAIRS]] * asked[part][i[p : p + PAIRS]]).sum(1) for p in pieces])
+        best = _ranked(i, ids[j], scores, k)
+        found.append((query_ids[part][i[best]], ids[j[best]], scores[best]))
+    query_id, vec_id, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "score": score})
 
 
 def usable(vector: Column) -> Column:
@@ -149,44 +205,59 @@ def search(vectors: DataFrame, asked: Column, key: str = "vec_id", vector: str =
     sample = rows.select("vector", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()["vector"]
     if not total:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    index = fit(np.stack(sample.to_numpy()), longest, lists or max(1, min(512, round(total**0.5 / 4))), k)
+    index = fit(np.stack(sample.to_numpy()), longest, lists or math.ceil(total / LIST), k)
     shared = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("int")
     def list_of(column: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.lists(np.stack(column.to_numpy())) if len(column) else [], dtype="int32")
+        return pd.Series(shared.value.list_of(np.stack(column.to_numpy())) if len(column) else [], dtype="int32")
 
     listed = common.written(rows.withColumn("list", list_of("vector")), "lists")
-    counted = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # one number for each list
-    held = np.array([counted.get(i, 0) for i in range(len(index.centroids))])
+    sizes = common.written(listed.groupBy("list").agg(F.count("*").alias("n")), "sizes")
+    held = np.zeros(index.lists, np.int64)
+    counted = sizes.toPandas()
+    held[counted["list"].to_numpy()] = counted["n"].to_numpy()
 
     @F.pandas_udf("array<int>")
     def probed(column: pd.Series) -> pd.Series:
-        order = np.argsort(shared.value.distances(shared.value.lifted(np.stack(column.to_numpy()), query=True)), axis=1)
-        enough = np.maximum((np.cumsum(held[order], axis=1) < 2 * (k + 1)).sum(1) + 1, index.probes)
-        return pd.Series([o[:n].astype(np.int32) for o, n in zip(order, enough, strict=True)])
+        chosen = []
+        for vector in column:
+            order = shared.value.order(vector[None, :])[0]
+            order = order[held[order] > 0]
+            enough = max(int((np.cumsum(held[order]) < 2 * (k + 1)).sum()) + 1, shared.value.probes)
+            chosen.append(order[:enough].astype(np.int32))
+        return pd.Series(chosen)
 
     queries = listed.filter("asked").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vector")
-    queries = common.written(queries.withColumn("list", F.explode(probed("vector"))), "probes")
-    wanted = {r["list"]: r["count"] for r in queries.groupBy("list").count().collect()}
-    ids = range(len(held))
-
-    def parts(numbers: dict[int, int]) -> Column:
-        return F.array(*(F.lit(max(1, -(-numbers.get(i, 0) // CHUNK))) for i in ids))[F.col("list")]
-
-    def placed(frame: DataFrame, own: dict[int, int], other: dict[int, int], mine: str, theirs: str, of: str) -> DataFrame:
-        spread = frame.withColumn(mine, F.pmod(F.xxhash64(of), parts(own)).cast("int"))
-        return spread.withColumn(theirs, F.explode(F.sequence(F.lit(0), parts(other) - 1)))
-
-    base = placed(listed.select("vec_id", "vector", "list").filter(F.col("list").isin(list(wanted))), counted, wanted, "chunk", "block", "vec_id")
-    blocks = placed(queries, wanted, counted, "block", "chunk", "query_id")
+    queries = common.written(queries.withColumn("probes", probed("vector")), "queries")
     place = ["list", "chunk", "block"]
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def block(base_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         return search_block(base_rows, query_rows, shared.value, k)
 
-    found = base.groupBy(*place).cogroup(blocks.groupBy(*place)).applyInPandas(block, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    def parts(n: str) -> Column:
+        return F.ceil(F.col(n) / CHUNK).cast("int")
+
+    def best(wanted: DataFrame) -> DataFrame:
+        """The ``k`` best over the lists that each row of ``wanted`` names for a query, with their ranks."""
+        both = sizes.join(wanted.groupBy("list").agg(F.count("*").alias("m")), "list")
+        both = both.select("list", parts("n").alias("chunks"), parts("m").alias("blocks"))
+        base = listed.select("vec_id", "vector", "list").join(both, "list")
+        base = base.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+        base = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("chunks", "blocks")
+        blocks = wanted.join(both, "list")
+        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks", "blocks")
+        found = base.groupBy(*place).cogroup(blocks.groupBy(*place)).applyInPandas(block, FOUND)
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    first = queries.select("query_id", "vector", F.col("probes")[0].alias("list"), F.lit(None).cast("double").alias("bound"))
+    near = common.written(best(first).drop("rank"), "near")
+    bounds = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+    rest = F.explode(F.slice("probes", 2, F.greatest(F.size("probes") - 1, F.lit(0)))).alias("list")
+    second = common.written(queries.join(bounds, "query_id", "left").select("query_id", "vector", "bound", rest), "probes")
+    found = near.unionByName(best(second).drop("rank"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

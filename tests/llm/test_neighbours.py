@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import neighbours
@@ -44,14 +45,30 @@ def test_lengths_differ_and_a_vector_has_many_copies(spark, monkeypatch):
     assert len(got) == 30 and hits / total >= 0.9
 
 
-def test_scan_keeps_the_nearest():
+def test_the_test_of_partial_distances_keeps_the_nearest():
     random = np.random.default_rng(4)
-    base = random.normal(size=(3000, 65))
-    kept = missed = 0
-    for _ in range(20):
-        query = random.normal(size=65)
-        near = set(neighbours.scan(base, base, query, query, 20).tolist())
-        true = np.argsort(((base - query) ** 2).sum(1))[:20]
-        kept += len(near)
-        missed += len(set(true.tolist()) - near)
-    assert missed <= 8 and kept < 20 * 2000
+    base, queries = random.normal(size=(3000, 65)), random.normal(size=(20, 65))
+    distances = ((base[None] - queries[:, None]) ** 2).sum(2)
+    bounds = np.sort(distances, axis=1)[:, 19]
+    i, j = neighbours.survivors(base, queries, bounds, 65.0)
+    true = {(q, c) for q in range(20) for c in np.argsort(distances[q])[:20].tolist()}
+    assert len(true - set(zip(i.tolist(), j.tolist(), strict=True))) <= 8 and len(i) <= 400
+
+
+def test_a_block_scores_ties_by_id_and_leaves_out_the_query():
+    vectors = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 0.0]])
+    base = pd.DataFrame({"vec_id": [4, 3, 2, 1], "vector": list(vectors)})
+    queries = pd.DataFrame({"query_id": [3, 9], "vector": [vectors[0], vectors[2]], "bound": [np.nan, 0.5]})
+    index = neighbours.fit(vectors, 1.0, 1, 2)
+    got = neighbours.search_block(base, queries, index, 2)
+    assert got.to_numpy().tolist() == [[3, 1, 1.0], [3, 4, 1.0], [9, 2, 1.0]]
+
+
+def test_few_lists_or_many_find_the_same_nearest(spark):
+    random = np.random.default_rng(5)
+    vectors = random.normal(size=(400, 6))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    for lists in (1, 40):
+        got = neighbours.search(frame, F.col("vec_id") % 50 == 0, lists=lists).collect()
+        hits = sum((r["vec_id"], r["score"]) in exact(np.arange(400), vectors, r["query_id"], 20) for r in got)
+        assert len(got) == 160 and hits >= (160 if lists == 1 else 144)
