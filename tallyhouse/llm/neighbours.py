@@ -2,13 +2,14 @@
 
 Inner products become distances by one more component that gives all vectors the length of the longest. A vector is kept in the list of its nearest coarse
 centroid and, for what that leaves, its nearest fine centroid; a query probes the lists whose sums of both centroids are nearest. Lists hold ``LIST`` vectors on
-average at every size of the table. All is done in two rounds:
+average at every size of the table. The lists of a query are searched in rounds, the nearest
+one first, then ``ROUND`` times as many as before in all, so that rounds grow with the logarithm of the probes:
 
-* the first scores the nearest list of each query in full, so that its ``k``-th best is a true bound on the distance of what is still to be found;
-* the second takes that bound into the other lists. Vectors and queries are rotated at random and compared in blocks of columns: after ``d`` of ``D`` columns a
-  candidate is abandoned if its partial distance, scaled by ``D / d``, exceeds the bound by more than the test of the hypothesis "it is nearer" allows
-  (``1 + SLACK / sqrt(d)``). A block of columns is one matrix product for many queries while many candidates are left, and is computed for single
-  pairs after that.
+* the first round scores the nearest list in full: its ``k``-th best is a true bound on the distance of what is still to be found;
+* each later round takes the bound found so far into its lists and so adds few pairs. Vectors and queries are rotated at random and compared in blocks of
+  columns: after ``d`` of ``D`` columns a candidate is abandoned if its partial distance, scaled by ``D / d``, exceeds the bound by more than the test of the
+  hypothesis "it is nearer" allows (``1 + SLACK / sqrt(d)``). A block of columns is one matrix product for many queries while many candidates are left, and
+  is computed for single pairs after that.
 
 Candidates that survive all columns are scored in double precision on the original vectors.
 
@@ -40,6 +41,7 @@ SAMPLE = 20_000
 PROBED_QUERIES = 400
 WANTED = 0.98
 LIST = 512
+ROUND = 4
 CHUNK = 4096
 COLUMNS = 16
 SLACK = 2.1
@@ -239,8 +241,8 @@ def search(vectors: DataFrame, asked: Column, key: str = "vec_id", vector: str =
     def parts(n: str) -> Column:
         return F.ceil(F.col(n) / CHUNK).cast("int")
 
-    def best(wanted: DataFrame) -> DataFrame:
-        """The ``k`` best over the lists that each row of ``wanted`` names for a query, with their ranks."""
+    def searched(wanted: DataFrame) -> DataFrame:
+        """What the list that each row of ``wanted`` names has for its query: ``k`` rows of a chunk at most."""
         both = sizes.join(wanted.groupBy("list").agg(F.count("*").alias("m")), "list")
         both = both.select("list", parts("n").alias("chunks"), parts("m").alias("blocks"))
         base = listed.select("vec_id", "vector", "list").join(both, "list")
@@ -249,16 +251,18 @@ def search(vectors: DataFrame, asked: Column, key: str = "vec_id", vector: str =
         blocks = wanted.join(both, "list")
         blocks = blocks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
         blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks", "blocks")
-        found = base.groupBy(*place).cogroup(blocks.groupBy(*place)).applyInPandas(block, FOUND)
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-    first = queries.select("query_id", "vector", F.col("probes")[0].alias("list"), F.lit(None).cast("double").alias("bound"))
-    near = common.written(best(first).drop("rank"), "near")
-    bounds = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
-    rest = F.explode(F.slice("probes", 2, F.greatest(F.size("probes") - 1, F.lit(0)))).alias("list")
-    second = common.written(queries.join(bounds, "query_id", "left").select("query_id", "vector", "bound", rest), "probes")
-    found = near.unionByName(best(second).drop("rank"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return base.groupBy(*place).cogroup(blocks.groupBy(*place)).applyInPandas(block, FOUND)
+
+    near = spark.createDataFrame([], FOUND + ", rank int")
+    start, stop, most = 0, 1, queries.agg(F.max(F.size("probes"))).first()[0] or 0
+    while start < most:
+        bounds = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+        lists_now = F.explode(F.slice("probes", start + 1, stop - start)).alias("list")
+        wanted = common.written(queries.join(bounds, "query_id", "left").select("query_id", "vector", "bound", lists_now), "probes")
+        found = near.drop("rank").unionByName(searched(wanted)).withColumn("rank", F.row_number().over(order))
+        near = common.written(found.filter(F.col("rank") <= k), "near")
+        start, stop = stop, stop * ROUND
+    return near.select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
