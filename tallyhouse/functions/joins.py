@@ -28,6 +28,18 @@ def fits_broadcast(dimension: DataFrame, size_bytes: int | None = None) -> bool:
     return size <= broadcast_limit(dimension)
 
 
+def join_shuffled(fact: DataFrame, other: DataFrame, key: str, size_bytes: int | None) -> DataFrame:
+    """Inner join of a fact with another table that is too large to broadcast, both shuffled by a key that is unique in ``other``.
+
+    Where ``other``, of ``size_bytes``, is within the broadcast limit on average of a shuffle partition, each task hashes its part of it and streams the facts
+    past, so that none are held to be sorted. Adaptive execution splits a hot key as it does in a sort-merge join, which is what larger
+    tables and those of unknown size (None) take: hashed rows cannot spill.
+    """
+    partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = size_bytes is not None and not fits_broadcast(other, size_bytes) and size_bytes <= broadcast_limit(other) * partitions
+    return fact.join(other.hint("shuffle_hash") if hashed else other, key)
+
+
 def join_dimension(
     fact: DataFrame,
     dimension: DataFrame,

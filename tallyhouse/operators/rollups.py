@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import calendar
 from tallyhouse.functions.filters import where_equal
-from tallyhouse.functions.joins import fits_broadcast
+from tallyhouse.functions.joins import fits_broadcast, join_shuffled
 from tallyhouse.functions.numbers import PRICE, exact_ratio, money_average, price_units, sum_of_units
 from tallyhouse.functions.periods import (
     DAY,
@@ -279,7 +279,9 @@ def _from_sales(
         )
         if joined:
             orders = _keep(tables.orders(span), spec, "orders", equals)
-            sales = sales.join(orders.select("orderID", *_compact_columns(spec, "orders", keys)), "orderID")
+            all_orders = span is None and not spec.reads("orders", equals)
+            keyed = orders.select("orderID", *_compact_columns(spec, "orders", keys))
+            sales = join_shuffled(sales, keyed, "orderID", tables.order_bytes if all_orders else None)
     priced = any(measure in PRICED_MEASURES for measure in spec.measures.values())
     if priced or spec.reads("products", touched):
         price, cost = F.col("Price").cast(PRICE), F.col("production_costs").cast(PRICE)
@@ -296,7 +298,8 @@ def _from_sales(
         else:
             if stored is None:
                 sales, measures = _summed_per_product(sales, spec, keys), PRODUCT_MEASURES
-            sales = sales.join(products, "SKU")
+            all_products = not spec.reads("products", equals)
+            sales = join_shuffled(sales, products, "SKU", tables.dimension_bytes.get("products") if all_products else None)
     sums = [measures[measure]().alias(column) for column, measure in spec.measures.items()]
     return _labelled(sales.groupBy(*map(_compact, keys)).agg(*sums), spec, keys)
 
@@ -365,9 +368,9 @@ def item_sales(tables: SalesTables) -> DataFrame:
     Not a report: the one join of items with orders that every sales rollup can be added up from once it is stored.
     """
     orders = tables.orders().select("orderID", "storeID", order_day().alias("orderDate"))
+    items = tables.order_items.select("orderID", "SKU", "Quantity")
     return (
-        tables.order_items.select("orderID", "SKU", "Quantity")
-        .join(orders, "orderID")
+        join_shuffled(items, orders, "orderID", tables.order_bytes)
         .groupBy("storeID", "SKU", "orderDate")
         .agg(F.sum("Quantity").alias("Quantity"), F.count("*").alias("Lines"))
         .withColumn("year", F.year("orderDate"))

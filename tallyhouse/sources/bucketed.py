@@ -72,9 +72,9 @@ def read_facts(tables: SalesTables, database: str) -> SalesTables:
 
     items = spark.table(f"{database}.order_items")
     if ORDER_MONTH not in items.columns:
-        return replace(tables, order_items=items, order_source=order_source, item_source=None)
+        return replace(tables, order_items=items, order_source=order_source, item_source=None, order_bytes=None)
 
     def item_source(span: DateSpan | None) -> DataFrame:
         return (items if span is None else items.filter(_touches(span))).drop(ORDER_MONTH)
 
-    return replace(tables, order_items=items.drop(ORDER_MONTH), order_source=order_source, item_source=item_source)
+    return replace(tables, order_items=items.drop(ORDER_MONTH), order_source=order_source, item_source=item_source, order_bytes=None)

@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.joins import estimated_bytes
 from tallyhouse.operators.rollups import ITEM_SALES, ORDER_HOURS, ROLLUPS, STORED_YEAR, item_sales, order_hours
 from tallyhouse.sources.tables import EXTENDED_ORDERS, SCHEMAS, SCHEMAS_OF_EXTENDED, SalesTables
 
@@ -21,7 +22,7 @@ TEXTS_OF_YEAR = ("yearWeek", "weekYear", "orderMonth", "monthYear")
 def read_tables(spark: SparkSession, directory: str, extended: bool = False) -> SalesTables:
     """Base tables from ``directory``/{stores, customers, products, orders, orderItems}, and ``extendedorders`` if it is stored there."""
     frames = {name: spark.read.schema(schema).parquet(f"{directory}/{name}") for name, schema in SCHEMAS.items()}
-    return SalesTables.from_frames(
+    tables = SalesTables.from_frames(
         frames["stores"],
         frames["customers"],
         frames["products"],
@@ -29,6 +30,7 @@ def read_tables(spark: SparkSession, directory: str, extended: bool = False) ->
         frames["orderItems"],
         spark.read.schema(SCHEMAS_OF_EXTENDED).parquet(f"{directory}/{EXTENDED_ORDERS}") if extended else None,
     )
+    return replace(tables, order_bytes=estimated_bytes(frames["orders"]))
 
 
 def _year_of(rollup: DataFrame) -> Column | None:

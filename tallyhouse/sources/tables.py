@@ -66,7 +66,8 @@ class SalesTables:
     would be far off, as for one that is itself a join.
 
     ``extended`` are stored orders with their local time ``adjustedOrderDate``; without them it is computed from the store's
-    longitude. ``salts`` is over how many tasks a busy store is spread in a join with stores too many to broadcast.
+    longitude. ``order_bytes`` is the size of all orders where they are shuffled to meet the items, None where it is unknown or they
+    need no shuffle. ``salts`` is over how many tasks a busy store is spread in a join with stores too many to broadcast.
 
     Keys are unique in stores, customers, products and orders, and every order item names an existing order and
     product.
@@ -82,6 +83,7 @@ class SalesTables:
     extended: DataFrame | None = None
     salts: int = SALTS
     item_source: Callable[[DateSpan | None], DataFrame] | None = None
+    order_bytes: int | None = None
 
     @classmethod
     def from_frames(

@@ -109,4 +109,5 @@ def tpch_tables(spark: SparkSession, directory: str) -> SalesTables:
         ),
         order_source=order_source,
         dimension_bytes={"stores": estimated_bytes(supplier), "products": estimated_bytes(part)},
+        order_bytes=estimated_bytes(orders),
     )
