@@ -7,8 +7,8 @@ as byte pieces, so that every text has an encoding and decodes to itself.
 Ids are those of a segmentation with the largest sum of scores, as in a unigram model. Of equal sums the longer last piece wins.
 A vocabulary that was made by merging pairs stores the ranks of its merges as scores; replaying the merges may give other ids, which decode to the same text.
 
-No piece has a word mark after another character, so a text is a sequence of independent chunks that start at word marks. A task keeps the encodings
-of the chunks that it meets, in ``CACHE`` bytes at most: those met lately, and those of the time before. Decoding needs the bytes of each piece only,
+No piece has a word mark after another character, so a text is a sequence of independent chunks that start at word marks, or at punctuation that in no
+piece follows the character before. A task keeps the encodings of the chunks that it meets, in ``CACHE`` bytes at most: those met lately, and those of the time before. Decoding needs the bytes of each piece only,
 no automaton.
 
 Defined results: null and empty texts have no ids and decode to an empty text; the word mark U+2581 itself is written in bytes; ids that are no
@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -37,8 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of memory for the encodings that a worker process keeps, over both generations.
 CACHE = 100_000_000
-#: What an entry of a dictionary takes beside its key and value, with room for growth.
-ENTRY = 110
+#: What an entry of a dictionary takes beside its key and the bytes of its value, with room for growth.
+ENTRY = 110 + sys.getsizeof(b"")
 WORST = float("-inf")
 #: By how much an unknown character scores below the worst piece.
 UNKNOWN = 10.0
@@ -78,10 +80,10 @@ class Decoder:
             for p, b, t in zip(vocabulary.pieces, vocabulary.byte, vocabulary.text, strict=True)
         ]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        raw, size = self.raw, len(self.raw)
-        text = b"".join([raw[i] for i in ids if 0 <= i < size]).decode(errors="replace")
-        return text.removeprefix(" ")
+    def decode(self, ids: Iterable[int] | np.ndarray) -> str:
+        size = len(self.raw)
+        known = ids[(ids >= 0) & (ids < size)].tolist() if isinstance(ids, np.ndarray) else [i for i in ids if 0 <= i < size]
+        return b"".join(map(self.raw.__getitem__, known)).decode(errors="replace").removeprefix(" ")
 
 
 class Encoder:
@@ -103,11 +105,18 @@ class Encoder:
         self.unknown = min(s for _, s, _ in texts) - UNKNOWN
         self.bare = (1, self.unknown, -1)
         alone = r"\n" if not any("\n" in p for p, _, _ in texts) else ""
-        self.chunks = re.compile(rf"{MARK}|[{alone}]+| +[^ {alone}{MARK}]*|[^ {alone}{MARK}]+" if alone else rf"{MARK}| +[^ {MARK}]*|[^ {MARK}]+")
+        signs = re.escape(string.punctuation)
+        body = rf"(?:[^ {alone}{MARK}{signs}]++|(?=[{signs}])(?:{self._signs()}))*+"
+        self.chunks = re.compile("|".join([MARK, *([rf"{alone}+"] if alone else []), rf" +{body}", rf"[^ {alone}{MARK}]{body}"]))
         self.recent: dict[str, bytes] = {}  # encodings of chunks, and those of the generation before
         self.older: dict[str, bytes] = {}
         self.held = 0  # bytes of the recent ones
 
+    def _signs(self) -> str:
+        """A pattern of punctuation after a character that it follows in a piece: before any other a chunk ends."""
+        before = {c: "".join(sorted(pair[0] for pair in self.pairs if pair[1] == c)) for c in string.punctuation}
+        return "|".join(rf"{re.escape(c)}(?<=[{re.escape(b)}]{re.escape(c)})" for c, b in before.items() if b) or "(?!)"
+
     def _with_unknown(self, chunk: str, matches) -> Iterator[tuple[int, tuple[int, float, int]]]:
         """Matches and, before those that end later, each character that is no piece by itself."""
         unknown = [i for i, c in enumerate(chunk) if c not in self.singles][::-1]
@@ -147,7 +156,7 @@ class Encoder:
         """The ids of a chunk as bytes, from those kept or else computed and kept."""
         ids = self.recent.get(chunk) or self.older.get(chunk) or compute(chunk)
         if len(chunk) < 64:
-            self.held += sys.getsizeof(chunk) + sys.getsizeof(ids) + ENTRY
+            self.held += sys.getsizeof(chunk) + len(ids) + ENTRY
             if self.held > CACHE // 2:
                 self.older, self.recent, self.held = self.recent, {}, 0
             self.recent[chunk] = ids
@@ -155,9 +164,10 @@ class Encoder:
 
     def _by_parts(self, chunk: str) -> bytes:
         """A chunk falls into independent parts between two characters that are neighbours in no piece, as most words and their punctuation are."""
-        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs]
-        if not cuts:
+        together = list(map(self.pairs.__contains__, map(add, chunk, chunk[1:])))
+        if all(together):
             return self._best_bytes(chunk)
+        cuts = [i for i, pair in enumerate(together, 1) if not pair]
         bounds = zip([0, *cuts], [*cuts, len(chunk)], strict=True)
         return b"".join(self._kept(chunk[a:b], self._best_bytes) for a, b in bounds)
 
@@ -208,7 +218,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
         decoder = _of_worker(Decoder, shared, digest)
-        return pa.array([decoder.decode(v.values.to_pylist() if v.is_valid else []) for v in lists], pa.string())
+        return pa.array([decoder.decode(v.values.to_numpy() if v.is_valid else []) for v in lists], pa.string())
 
     plain, old = common.guarded(encoded)
     return plain.select(*common.restored(old, {name: texts(old[ids])}))

@@ -80,3 +80,30 @@ def test_a_full_cache_is_emptied(vocabulary, monkeypatch):
     small = pieces.Encoder(vocabulary)
     text = " ".join(f"word{i}" for i in range(50))
     assert small.encode(text).tolist() == pieces.Encoder(vocabulary).encode(text).tolist() and len(small.recent) <= 5 and len(small.older) <= 5
+
+
+def test_chunks_end_before_punctuation_that_no_piece_has_there(vocabulary):
+    counting = pieces.Encoder(vocabulary)
+    searched, best = [], counting.best
+    counting.best = lambda chunk: searched.append(chunk) or best(chunk)
+    together = {p[i : i + 2] for p, t in zip(vocabulary.pieces, vocabulary.text, strict=True) if t for i in range(len(p) - 1)}
+    signs = [c for c in ",;:!?()" if "q" + c not in together]
+    assert len(signs) > 1
+    counting.encode(" ".join(f"reqreq{c}" for c in signs))
+    assert counting.chunks.findall(f" reqreq{signs[0]} a") == [" reqreq", signs[0], " a"]
+    assert searched.count(" reqreq") == 1 and not any(f"q{c}" in chunk for c in signs for chunk in counting.recent)
+
+
+def test_cutting_before_punctuation_changes_no_ids(vocabulary, encoder):
+    whole = pieces.Encoder(vocabulary)
+    whole.chunks = pieces.re.compile(rf"{pieces.MARK}|\n+| +[^ \n{pieces.MARK}]*|[^ \n{pieces.MARK}]+")
+    pick = random.Random(5)
+    letters = "aenrt  ,.;:!?$*()[]-_'\"\n\té日▁1290/\\^&#@%+=<>|~`{}"
+    for _ in range(3000):
+        text = "".join(pick.choice(letters) for _ in range(pick.randrange(1, 40)))
+        assert encoder.encode(text).tolist() == whole.encode(text).tolist()
+
+
+def test_arrays_decode_as_lists(decoder):
+    ids = [5, -1, 400, 70_000, 31_999, 300]
+    assert decoder.decode(pieces.np.array(ids, pieces.np.int32)) == decoder.decode(ids) == decoder.decode(iter(ids)) != ""
