@@ -201,9 +201,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         encoder = _of_worker(Encoder, shared, digest)
-        found = [encoder.encode(t.as_py()) for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+        found, ends = bytearray(), [0]  # one buffer: a batch of long texts is not held twice
+        for t in texts:
+            found += encoder.encode(t.as_py()).data
+            ends.append(len(found) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(found)]))
 
     plain, old = common.guarded(docs)
     # Marked as if it were not deterministic, the planner does not run it again inside a function of its result, such as decoding.
@@ -218,7 +220,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
         decoder = _of_worker(Decoder, shared, digest)
-        return pa.array([decoder.decode(v.values.to_numpy() if v.is_valid else []) for v in lists], pa.string())
+        found, ends = bytearray(), [0]
+        for v in lists:
+            found += decoder.decode(v.values.to_numpy() if v.is_valid else []).encode()
+            ends.append(len(found))
+        return pa.Array.from_buffers(pa.string(), len(lists), [None, pa.array(ends, pa.int32()).buffers()[1], pa.py_buffer(found)])
 
     plain, old = common.guarded(encoded)
     return plain.select(*common.restored(old, {name: texts(old[ids])}))

@@ -107,3 +107,16 @@ def test_cutting_before_punctuation_changes_no_ids(vocabulary, encoder):
 def test_arrays_decode_as_lists(decoder):
     ids = [5, -1, 400, 70_000, 31_999, 300]
     assert decoder.decode(pieces.np.array(ids, pieces.np.int32)) == decoder.decode(ids) == decoder.decode(iter(ids)) != ""
+
+
+def test_frames_with_nulls_and_empty_texts(spark, vocabulary):
+    texts = [None, "", "日本 été", "a, b", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    got = {row.i: row for row in both.collect()}
+    assert [got[i].decoded for i in range(5)] == ["", "", *texts[2:]]
+    one = pieces.Encoder(vocabulary)
+    assert all(got[i].ids == one.encode(t).tolist() and got[i].n_tokens == len(got[i].ids) for i, t in enumerate(texts))
+    lists = spark.createDataFrame([(None,), ([],), (got[3].ids,)], "ids array<int>").coalesce(1)
+    assert sorted(r.decoded for r in pieces.decode(lists, vocabulary).collect()) == ["", "", "a, b"]
+    assert pieces.decode(pieces.encode(docs.filter("i < 0"), vocabulary), vocabulary).collect() == []
